@@ -113,24 +113,19 @@ def _excursion(s: np.ndarray, row: np.ndarray, of: np.ndarray, best: np.ndarray)
     gain = np.zeros(len(row) - 1)
     base = s[np.arange(len(of)), best[of]]
     full = np.flatnonzero(np.diff(row) > 0)
+    first = np.zeros(len(of), bool)
+    first[row[:-1][full]] = True
+    shift = of * 1e9  # later texts lie lower, so the running minimum begins anew
     for j in range(s.shape[1]):
         d = np.clip(s[:, j] - base, -1e4, 1e4).astype(np.float64)
         c = np.cumsum(d)
         c -= (c[row[:-1][full]] - d[row[:-1][full]])[np.searchsorted(full, of)]  # from each text's start
-        shift = of * 1e9  # later texts lie lower, so the running minimum begins anew
-        low = np.minimum.accumulate(np.minimum(np.concatenate(([0.0], c[:-1])), 0 * c + np.where(np.arange(len(c)) == row[:-1][of], 0, np.inf) if False else _before(c, row, of)) - shift) + shift
+        before = np.where(first, 0.0, np.concatenate(([0.0], c[:-1])))
+        low = np.minimum.accumulate(before - shift) + shift
         gain[full] = np.maximum(gain[full], np.maximum.reduceat(c - low, row[:-1][full]))
     return gain
 
 
-def _before(c: np.ndarray, row: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The sum before each word within its text."""
-    b = np.concatenate(([0.0], c[:-1])) if len(c) else c
-    first = np.zeros(len(c), bool)
-    first[row[:-1][np.diff(row) > 0]] = True
-    return np.where(first, 0.0, b)
-
-
 def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     """Labels of one text that maximise the scores less the penalty for each change; the lowest label of equals."""
     n, k = s.shape
@@ -150,8 +145,9 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def label_words(s: np.ndarray, row: np.ndarray, of: np.ndarray, penalty: float) -> np.ndarray:
-    """The label of each word.  Where no stretch gains more than the penalty over the text's best label, that label holds
-    throughout: any path with changes would pay at least one penalty for each stretch.  The others go through ``viterbi``."""
+    """The label of each word.  Where no stretch gains more than half the penalty over the text's best label, that label holds
+    throughout: a path with m stretches in other labels has at least m / 2 changes (m - 1, and 1 if m is 1, unless it is one
+    label throughout, which can't beat the best).  The others go through ``viterbi``."""
     if not len(s):
         return np.zeros(0, np.int8)
     starts = np.flatnonzero(np.diff(row) > 0)
@@ -159,7 +155,7 @@ def label_words(s: np.ndarray, row: np.ndarray, of: np.ndarray, penalty: float)
     total[starts] = np.add.reduceat(s.astype(np.float64), row[:-1][starts], axis=0)
     best = total.argmax(axis=1)
     out = best[of].astype(np.int8)
-    for i in np.flatnonzero(_excursion(s, row, of, best) > penalty).tolist():
+    for i in np.flatnonzero(_excursion(s, row, of, best) > penalty / 2).tolist():
         out[row[i] : row[i + 1]] = viterbi(s[row[i] : row[i + 1]], penalty)
     return out
 
@@ -175,7 +171,7 @@ def train(docs: DataFrame, per_language: int = 400, least: int = 2) -> Model:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = Words(pa.array([text]))
                 own = counts.setdefault(lang, Counter())
-                for word, n in Counter(w.strings(range(len(w.start)) if False else np.arange(len(w.start)))).items():
+                for word, n in Counter(w.strings(np.arange(len(w.start)))).items():
                     if word_script(word):
                         for g in grams(word):
                             own[g] += n

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .chat import format_chats
 from .decontaminate import leaks
 from .fingerprints import imatch
+from .langid import language_spans
+from .langid import train as train_languages
+from .toxicity import toxic_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +27,22 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_spans(docs, train_languages(docs))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op4_toxicity, op5_bpe, op6_languages, op10_chat)}
