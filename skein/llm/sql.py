@@ -58,6 +58,16 @@ made AS (SELECT rid, subset, count(*) AS n_terms, md5(string_agg(t, ' ' ORDER BY
 SELECT doc_id, CAST(s.subset AS INTEGER) AS subset, coalesce(n_terms, 0) AS n_terms, fingerprint
 FROM words CROSS JOIN range(5) s(subset) LEFT JOIN made USING (rid, subset)"""
 
+OP8 = f"""
+WITH RECURSIVE words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD_SQL}') AS w FROM documents WHERE doc_id IS NOT NULL),
+sets AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words WHERE len(w) > 0),
+each AS MATERIALIZED (SELECT doc_id, hash(unnest(s)) AS h FROM sets),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM each a JOIN each b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+near AS MATERIALIZED (SELECT x, y FROM met JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y WHERE n >= 0.5 * (len(p.s) + len(q.s) - n)),
+links AS MATERIALIZED (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT x AS doc_id, min(y) AS kept_doc_id FROM reach GROUP BY x HAVING min(y) < x"""
+
 OP10 = """
 SELECT conv_id, count(*) AS n_turns,
   string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text
@@ -65,4 +75,4 @@ FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_fingerprints": OP2, "op10_chat": OP10}
+    return {"op1_decontaminate": OP1, "op2_fingerprints": OP2, "op8_near_duplicates": OP8, "op10_chat": OP10}
