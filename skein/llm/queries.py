@@ -12,6 +12,7 @@ from .decontaminate import leaks
 from .fingerprints import imatch
 from .langid import language_spans
 from .langid import train as train_languages
+from .lines import repeated_lines
 from .minhash import near_duplicates
 from .toxicity import toxic_documents
 
@@ -41,6 +42,10 @@ def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_spans(docs, train_languages(docs))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(_table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,4 +55,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op4_toxicity, op5_bpe, op6_languages, op8_near_duplicates, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op4_toxicity, op5_bpe, op6_languages, op7_line_dedup, op8_near_duplicates, op10_chat)}
