@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
 from .chat import format_chats
+from .debruijn import repeated_spans
 from .decontaminate import leaks
 from .fingerprints import imatch
 from .langid import language_spans
@@ -29,6 +30,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -55,4 +60,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op4_toxicity, op5_bpe, op6_languages, op7_line_dedup, op8_near_duplicates, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op3_substring_dedup, op4_toxicity, op5_bpe, op6_languages, op7_line_dedup, op8_near_duplicates, op10_chat)}

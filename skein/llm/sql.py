@@ -58,6 +58,21 @@ made AS (SELECT rid, subset, count(*) AS n_terms, md5(string_agg(t, ' ' ORDER BY
 SELECT doc_id, CAST(s.subset AS INTEGER) AS subset, coalesce(n_terms, 0) AS n_terms, fingerprint
 FROM words CROSS JOIN range(5) s(subset) LEFT JOIN made USING (rid, subset)"""
 
+OP3 = f"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+words AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(lower(text), '{WORD_SQL}') AS w FROM docs),
+edges AS MATERIALIZED (SELECT doc_id, rid, unnest(range(0, len(w) - 49)) AS pos, unnest(list_transform(range(1, len(w) - 48), lambda i: md5_number(array_to_string(w[i : i + 49], ' ')))) AS e,
+  unnest(list_transform(range(1, len(w) - 48), lambda i: md5_number(array_to_string(w[i : i + 48], ' ')))) AS a, unnest(list_transform(range(1, len(w) - 48), lambda i: md5_number(array_to_string(w[i + 1 : i + 49], ' ')))) AS b
+  FROM words WHERE len(w) >= 50),
+twice AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY e) AS n FROM edges) WHERE n > 1),
+ends AS (SELECT a AS node, rid, pos, e AS o, NULL AS i FROM twice UNION ALL SELECT b, rid, pos + 1, NULL, e FROM twice),
+nodes AS MATERIALIZED (SELECT node, rid, pos, max(o) AS o, max(i) AS i FROM ends GROUP BY ALL),
+inner_ AS MATERIALIZED (SELECT node FROM nodes GROUP BY node HAVING count(*) = count(o) AND count(*) = count(i) AND count(DISTINCT o) = 1 AND count(DISTINCT i) = 1),
+marks AS (SELECT doc_id, rid, pos, n, CASE WHEN lag(pos) OVER r = pos - 1 THEN 0 ELSE 1 END AS fresh, CASE WHEN lag(pos) OVER r = pos - 1 AND a IN (SELECT node FROM inner_) THEN 0 ELSE 1 END AS start
+  FROM twice WINDOW r AS (PARTITION BY rid ORDER BY pos)),
+spans AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY pos) AS g FROM marks)
+SELECT doc_id, CAST(min(pos) AS BIGINT) AS first_word, CAST(count(*) + 49 AS BIGINT) AS n_words, CAST(sum(start) AS BIGINT) AS n_paths, CAST(max(n) AS BIGINT) AS copies FROM spans GROUP BY doc_id, rid, g"""
+
 OP7 = r"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE doc_id IS NOT NULL),
 lines AS MATERIALIZED (SELECT doc_id, line, trim(s, ' ' || chr(9) || chr(13)) AS s FROM raw WHERE length(trim(s, ' ' || chr(9) || chr(13))) >= 16),
@@ -85,4 +100,4 @@ FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op2_fingerprints": OP2, "op7_line_dedup": OP7, "op8_near_duplicates": OP8, "op10_chat": OP10}
+    return {"op1_decontaminate": OP1, "op2_fingerprints": OP2, "op3_substring_dedup": OP3, "op7_line_dedup": OP7, "op8_near_duplicates": OP8, "op10_chat": OP10}
