@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,82 +29,82 @@ SCRIPTS = {
     "Kana": ([(0x3040, 0x30FF), (0x31F0, 0x31FF)], "ja"),
     "Han": ([(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)], "zh"),
 }
-_STARTS = sorted((a, b, name) for name, (ranges, _) in SCRIPTS.items() for a, b in ranges)
 FORBIDDEN = -1e6
-CACHED = 200_000
+_SCRIPT = np.zeros(0x30000, np.uint8)  # 1 and more: the scripts in order, for letters
+for _i, (_ranges, _) in enumerate(SCRIPTS.values(), 1):
+    for _a, _b in _ranges:
+        _SCRIPT[_a : _b + 1] = [_i * chr(c).isalpha() for c in range(_a, _b + 1)]
 
 
-def script_of(char: str) -> str | None:
-    c = ord(char)
-    return next((name for a, b, name in _STARTS if a <= c <= b), None) if char.isalpha() else None
+def marked(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the words with ^ before and $ after each, and where each begins."""
+    chars = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), np.uint32)
+    return chars, np.concatenate(([0], np.cumsum([len(w) + 2 for w in words]))).astype(np.int64)
 
 
-def word_script(word: str) -> str | None:
-    """The script of most letters of a word (the first of equals), None without letters of a known script."""
-    found = Counter(s for s in map(script_of, word) if s)
-    return found.most_common(1)[0][0] if found else None
+def scripts_of(chars: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each word the script of most of its letters (the first in order of equals), 0 without letters of a known script."""
+    n = len(SCRIPTS) + 1
+    own = np.where(chars < len(_SCRIPT), _SCRIPT[np.minimum(chars, len(_SCRIPT) - 1)], 0).astype(np.int64)
+    found = np.bincount(np.repeat(np.arange(len(begin) - 1), np.diff(begin)) * n + own, minlength=(len(begin) - 1) * n).reshape(-1, n)
+    found[:, 0] = 0
+    return found.argmax(axis=1)
 
 
-def grams(word: str) -> list[str]:
-    """Character trigrams of a word with its ends marked."""
-    w = f"^{word}$"
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+def trigrams(chars: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of each word, three characters in 63 bits, and where each word's begin; a word has as many as characters."""
+    c = chars.astype(np.uint64)
+    size = np.diff(begin) - 2
+    first = np.concatenate(([0], np.cumsum(size)))
+    at = np.arange(first[-1]) + np.repeat(begin[:-1] - first[:-1], size)
+    return (c[at] << np.uint64(42)) | (c[at + 1] << np.uint64(21)) | c[at + 2], first
 
 
 class Model:
     """Log probabilities of trigrams in each trained language.  Labels are these, then languages of scripts, then unknown."""
 
-    def __init__(self, counts: dict[str, dict[str, int]], smoothing: float = 0.5) -> None:
+    def __init__(self, counts: dict[str, dict[int, int]], smoothing: float = 0.5) -> None:
         self.trained = sorted(counts)
-        vocabulary = sorted({g for c in counts.values() for g in c})
-        size = len(vocabulary) + 1
-        totals = [sum(counts[k].values()) + smoothing * size for k in self.trained]
-        self.table = {g: np.log([(counts[k].get(g, 0) + smoothing) / t for k, t in zip(self.trained, totals)]) for g in vocabulary}
-        self.floor = np.log([smoothing / t for t in totals]) if totals else np.zeros(0)
-        self.scripts: dict[str, set[str]] = {}
-        typical = []
-        for i, k in enumerate(self.trained):
-            seen: Counter = Counter()
-            for g, n in counts[k].items():
-                if s := word_script(g):
-                    seen[s] += n
-            for s, n in seen.items():
-                if n >= 0.05 * sum(seen.values()):
-                    self.scripts.setdefault(s, set()).add(k)
-            typical.append(sum(n * self.table[g][i] for g, n in counts[k].items()) / max(1, sum(counts[k].values())))
+        self.keys = np.array(sorted({g for c in counts.values() for g in c}), np.uint64)
+        n = np.array([[counts[k].get(g, 0) for k in self.trained] for g in self.keys.tolist()], np.float64).reshape(len(self.keys), len(self.trained))
+        total = n.sum(axis=0) + smoothing * (len(self.keys) + 1)
+        table = np.log((n + smoothing) / total)
+        floor = np.log(smoothing / total)
+        self.table = np.vstack((table, floor[None])).astype(np.float32)
         #: A trigram of unknown text scores between what is typical and what was never seen, nearer to the latter.
-        self.unknown = float(0.3 * np.mean(typical) + 0.7 * np.mean(self.floor)) if typical else 0.0
+        typical = (n * table).sum(axis=0) / np.maximum(n.sum(axis=0), 1)
+        self.unknown = float(0.3 * np.mean(typical) + 0.7 * np.mean(floor)) if len(self.trained) else 0.0
         self.labels = [*self.trained, *sorted({d for _, d in SCRIPTS.values()} - {*self.trained, UNKNOWN}), UNKNOWN]
-        self.index = {k: i for i, k in enumerate(self.labels)}
-        self.memory: dict[str, np.ndarray] = {}
-
-    def score(self, word: str) -> np.ndarray:
-        """Log probability of a word under each label; candidates outside its script are forbidden, words without letters are
-        the same under all."""
-        out = self.memory.get(word)
-        if out is not None:
-            return out
-        script = word_script(word)
-        if script is None:
-            out = np.zeros(len(self.labels), np.float32)
-        else:
-            out = np.full(len(self.labels), FORBIDDEN, np.float32)
-            all_grams = grams(word)
-            candidates = self.scripts.get(script, set())
-            if candidates:
-                total = np.zeros(len(self.trained))
-                for g in all_grams:
-                    total = total + self.table.get(g, self.floor)
-                for i, k in enumerate(self.trained):
-                    if k in candidates:
-                        out[i] = total[i]
-            elif SCRIPTS[script][1] != UNKNOWN:
-                out[self.index[SCRIPTS[script][1]]] = self.unknown * len(all_grams) / 2
-            out[self.index[UNKNOWN]] = self.unknown * len(all_grams)
-        if len(self.memory) > CACHED:
-            self.memory.clear()
-        self.memory[word] = out
-        return out
+        #: Languages that have one in twenty of their letters in a script are its candidates; without any it has a language of its own.
+        self.candidates = np.zeros((len(SCRIPTS) + 1, len(self.trained)), bool)
+        middle = (self.keys >> np.uint64(21)) & np.uint64(0x1FFFFF)
+        script = np.where(middle < len(_SCRIPT), _SCRIPT[np.minimum(middle, len(_SCRIPT) - 1).astype(np.int64)], 0)
+        letters = np.maximum(n[script > 0].sum(axis=0), 1)
+        for i in range(1, len(SCRIPTS) + 1):
+            seen = n[script == i].sum(axis=0)
+            self.candidates[i] = (seen > 0) & (seen >= 0.05 * letters)
+        self.own = [self.labels.index(d) for _, d in SCRIPTS.values()]
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each word under each label, and whether it has letters.  Candidates outside its script are forbidden;
+        words without letters are the same under all."""
+        chars, begin = marked(words)
+        script = scripts_of(chars, begin)
+        g, first = trigrams(chars, begin)
+        size = np.diff(first)
+        out = np.full((len(words), len(self.labels)), FORBIDDEN, np.float32)
+        if len(self.trained) and len(g):
+            at = np.minimum(np.searchsorted(self.keys, g), max(len(self.keys) - 1, 0))
+            at = np.where(self.keys[at] == g, at, len(self.keys)) if len(self.keys) else np.zeros(len(g), np.int64)
+            total = np.add.reduceat(self.table[at], first[:-1], axis=0)
+            out[:, : len(self.trained)] = np.where(self.candidates[script], total, FORBIDDEN)
+        bare = (script > 0) & ~self.candidates[script].any(axis=1)
+        if bare.any():
+            which = np.flatnonzero(bare)
+            out[which, np.array([len(self.labels) - 1, *self.own])[script[which]]] = self.unknown * size[which] / 2
+        out[:, -1] = self.unknown * size
+        out[script == 0] = 0
+        return out, script > 0
 
 
 def _excursion(s: np.ndarray, row: np.ndarray, of: np.ndarray, best: np.ndarray) -> np.ndarray:
@@ -126,22 +125,39 @@ def _excursion(s: np.ndarray, row: np.ndarray, of: np.ndarray, best: np.ndarray)
     return gain
 
 
-def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
-    """Labels of one text that maximise the scores less the penalty for each change; the lowest label of equals."""
-    n, k = s.shape
-    back = np.zeros((n, k), np.int8)
-    v = s[0].astype(np.float64)
-    stay = np.arange(k)
-    for t in range(1, n):
-        top = int(v.argmax())
-        switch = v[top] - penalty > v
-        back[t] = np.where(switch, top, stay)
-        v = np.where(switch, v[top] - penalty, v) + s[t]
-    out = np.empty(n, np.int8)
-    out[-1] = v.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+def viterbi(s: np.ndarray, begin: np.ndarray, end: np.ndarray, penalty: float) -> list[np.ndarray]:
+    """For each text, words ``begin`` to ``end`` (longest first), the labels that maximise the scores less the penalty for each
+    change; the lowest label of equals.  All texts advance together by a word."""
+    k = s.shape[1]
+    length = end - begin
+    back = np.empty((int(length.sum()), k), np.int8)
+    active = np.searchsorted(-length, -np.arange(length[0]), "left")  # texts with more than t words
+    v = s[begin].astype(np.float64)
+    stay = np.arange(k, dtype=np.int8)
+    row = np.concatenate(([0], np.cumsum(active))).tolist()
+    final = np.empty(len(begin), np.int64)
+    for t in range(1, int(length[0])):
+        m = int(active[t])
+        if m < len(v):
+            final[m : len(v)] = v[m:].argmax(axis=1)
+            v = v[:m]
+        top = v.argmax(axis=1)
+        best = v[np.arange(m), top][:, None] - penalty
+        switch = best > v
+        back[row[t] : row[t] + m] = np.where(switch, top[:, None], stay)
+        v = np.where(switch, best, v) + s[begin[:m] + t]
+    final[: len(v)] = v.argmax(axis=1)
+    state = np.zeros(len(begin), np.int64)
+    flat = np.empty(int(length.sum()), np.int8)
+    at = np.concatenate(([0], np.cumsum(length)))
+    for t in range(int(length[0]) - 1, -1, -1):
+        m = int(active[t])
+        done = int(active[t + 1]) if t + 1 < length[0] else 0
+        state[done:m] = final[done:m]
+        flat[at[:m] + t] = state[:m]
+        if t:
+            state[:m] = back[row[t] + np.arange(m), state[:m]]
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
 def label_words(s: np.ndarray, row: np.ndarray, of: np.ndarray, penalty: float) -> np.ndarray:
@@ -155,8 +171,11 @@ def label_words(s: np.ndarray, row: np.ndarray, of: np.ndarray, penalty: float)
     total[starts] = np.add.reduceat(s.astype(np.float64), row[:-1][starts], axis=0)
     best = total.argmax(axis=1)
     out = best[of].astype(np.int8)
-    for i in np.flatnonzero(_excursion(s, row, of, best) > penalty / 2).tolist():
-        out[row[i] : row[i + 1]] = viterbi(s[row[i] : row[i + 1]], penalty)
+    mixed = np.flatnonzero(_excursion(s, row, of, best) > penalty / 2)
+    if len(mixed):
+        mixed = mixed[np.argsort(row[mixed] - row[mixed + 1], kind="stable")]
+        for i, found in zip(mixed.tolist(), viterbi(s, row[mixed], row[mixed + 1], penalty)):
+            out[row[i] : row[i + 1]] = found
     return out
 
 
@@ -166,25 +185,26 @@ def train(docs: DataFrame, per_language: int = 400, least: int = 2) -> Model:
     Trigrams seen fewer than ``least`` times in a language are left out.  Rows with a null id, text or lang don't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        keys: list[np.ndarray] = []
+        langs: list[str] = []
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = Words(pa.array([text]))
-                own = counts.setdefault(lang, Counter())
-                for word, n in Counter(w.strings(np.arange(len(w.start)))).items():
-                    if word_script(word):
-                        for g in grams(word):
-                            own[g] += n
-        rows = [(k, g, n) for k, c in counts.items() for g, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+                chars, begin = marked(w.strings(np.arange(len(w.start))))
+                g, first = trigrams(chars, begin)
+                keys.append(g[np.repeat(scripts_of(chars, begin) > 0, np.diff(first))])
+                langs.append(lang)
+        for lang in sorted(set(langs)):
+            g, n = np.unique(np.concatenate([k for k, own in zip(keys, langs) if own == lang]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and lang is not null")
     rank = F.expr(f"row_number() over (partition by lang order by xxhash64(doc_id), doc_id) <= {int(per_language)}")
     chosen = known.withColumn("__in", rank).filter("__in").select("doc_id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sample = texts.filter("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id").select("lang", "text")
-    counted = sample.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    counts: dict[str, dict[str, int]] = {}
+    counted = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    counts: dict[str, dict[int, int]] = {}
     for lang, gram, n in counted.collect():  # bounded by the sample
         counts.setdefault(lang, {})[gram] = n
     return Model(counts)
@@ -205,11 +225,10 @@ def language_spans(docs: DataFrame, model: Model, penalty: float = 20.0, most_un
             h, of, row = w.hash, w.of, w.row
             _, first, code = np.unique(h, return_index=True, return_inverse=True)
             names = w.strings(first)
-            scores = np.array([m.score(x) for x in names], np.float32).reshape(len(names), len(m.labels))
+            scores, letters = m.scores(names)
             used = np.flatnonzero((scores > FORBIDDEN / 2).any(axis=0)) if len(names) else np.array([len(m.labels) - 1])
-            lettered = (scores.min(axis=1) < 0) if len(names) else np.zeros(0, bool)
             label = used[label_words(scores[:, used][code], row, of, penalty)]
-            n = np.bincount(of[lettered[code]] * len(m.labels) + label[lettered[code]], minlength=len(texts) * len(m.labels)).reshape(len(texts), -1)
+            n = np.bincount(of[letters[code]] * len(m.labels) + label[letters[code]], minlength=len(texts) * len(m.labels)).reshape(len(texts), -1)
             doc = np.where(n.sum(axis=1) > 0, n.argmax(axis=1), len(m.labels) - 1)
             kept = (n.sum(axis=1) > 0) & (n[:, -1] <= most_unknown * n.sum(axis=1))
             change = np.ones(len(h), bool)
@@ -257,9 +276,9 @@ def judge(m: Model, texts: pa.Array, penalty: float, most_unknown: float) -> np.
     names = w.strings(first)
     if not names:
         return np.zeros(len(texts), bool)
-    scores = np.array([m.score(x) for x in names], np.float32)
+    scores, letters = m.scores(names)
     used = np.flatnonzero((scores > FORBIDDEN / 2).any(axis=0))
-    lettered = (scores.min(axis=1) < 0)[code]
+    lettered = letters[code]
     unknown = (used[label_words(scores[:, used][code], w.row, w.of, penalty)] == len(m.labels) - 1) & lettered
     total = np.bincount(w.of[lettered], minlength=len(texts))
     return (total > 0) & (np.bincount(w.of[unknown], minlength=len(texts)) <= most_unknown * total)
