@@ -11,6 +11,8 @@ from .chat import format_chats
 from .debruijn import repeated_spans
 from .decontaminate import leaks
 from .fingerprints import imatch
+from .html import extract
+from .html import train as train_pages
 from .langid import language_spans
 from .langid import train as train_languages
 from .lines import repeated_lines
@@ -55,9 +57,14 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extract(pages, train_pages(pages))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(_table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op3_substring_dedup, op4_toxicity, op5_bpe, op6_languages, op7_line_dedup, op8_near_duplicates, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op3_substring_dedup, op4_toxicity, op5_bpe, op6_languages, op7_line_dedup, op8_near_duplicates, op9_html, op10_chat)}
