@@ -95,7 +95,8 @@ def _spans(docs: DataFrame, k: int, held: int) -> DataFrame:
     met = found.withColumns({"c": F.sum("w").over(node), "lo": F.min("link").over(node), "hi": F.max("link").over(node)})
     # most nodes are interior to a path, or have edges that occur once; what else there is gets judged edge by edge
     ends = met.filter("lo <> hi or (c > 1.5 and (link & 4294967295 = 0 or shiftright(link, 32) = 0))")
-    ends = cut(ends.select("node", F.shiftright("link", 32).alias("before"), F.expr("link & 4294967295").alias("after"), "t", "pos", "w").distinct())
+    each_end = ("node", F.shiftright("link", 32).alias("before"), F.expr("link & 4294967295").alias("after"), "t", "pos")
+    ends = cut(ends.groupBy(*each_end).agg(F.sum("w").alias("w")))  # a repeated row walks with a part of the weight
     sums = ends.withColumns({"ci": F.sum("w").over(Window.partitionBy("node", "before")), "co": F.sum("w").over(Window.partitionBy("node", "after"))})
     sums = sums.withColumns({"i": F.when((F.col("before") > 0) & (F.col("ci") > 1.5), F.col("before")).otherwise(0), "o": F.when((F.col("after") > 0) & (F.col("co") > 1.5), F.col("after")).otherwise(0)}).filter("i > 0 or o > 0")
     bounds = sums.withColumns({"li": F.min("i").over(node), "hi": F.max("i").over(node), "lo": F.min("o").over(node), "ho": F.max("o").over(node)}).filter("li <> hi or lo <> ho or li = 0 or lo = 0")
