@@ -75,7 +75,8 @@ def body(text: Column | str, ext: Column) -> Column:
 
 
 def content_hash(text: Column | str, path: Column | str) -> Column:
-    return F.sha2(F.concat(F.make_valid_utf8(_c(text)), F.lit("\n\0"), _c(path)), 256)
+    """SHA-256 of a file's text and path; of Markdown the front matter doesn't count."""
+    return F.sha2(F.concat(body(F.make_valid_utf8(_c(text)), extension(path)), F.lit("\n\0"), _c(path)), 256)
 
 
 def capitalised(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,11 +162,11 @@ def betweenness(graph: Graph, held: int = 20_000_000) -> DataFrame:
         adj.setdefault(a, []).append(b)
     sent = spark.sparkContext.broadcast(adj)
 
-    def brandes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def brandes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, float] = {}
         near = sent.value
-        for frame in frames:
-            for s in frame["id"]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
                 order, before, count, dist = [], {s: []}, {s: 1.0}, {s: 0}
                 queue = deque([s])
                 while queue:
@@ -185,10 +185,10 @@ def betweenness(graph: Graph, held: int = 20_000_000) -> DataFrame:
                         share[v] += count[v] / count[w] * (1 + share[w])
                     if w != s:
                         total[w] = total.get(w, 0.0) + share[w]
-        yield pd.DataFrame({"id": list(total), "score": list(total.values())}, columns=["id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["id", "score"])
 
     scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0  # both directions of a pair are counted
-    parts = ids.repartition(max(8, spark.sparkContext.defaultParallelism)).mapInPandas(brandes, "id string, score double")
+    parts = ids.repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(brandes, "id string, score double")
     summed = parts.groupBy("id").agg(F.sum("score").alias("s"))
     return ids.join(summed, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
 

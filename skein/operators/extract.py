@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,17 +222,16 @@ _FACT = "what string, id string, label string, source_file string, source_locati
 
 def facts(files: DataFrame) -> DataFrame:
     """Nodes and edges of files ``path, content``, one row each, in order within a file (``ord``); files with null content have none."""
-    columns = [c.strip().split(" ")[0] for c in _FACT.split(",")]
+    kinds = {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (c.strip().split(" ") for c in _FACT.split(","))])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
                 if content is not None:
-                    rows += [r | {"ord": k} for k, r in enumerate(extract_file(path, content))]
-            yield pd.DataFrame(rows, columns=columns)
+                    yield pa.RecordBatch.from_pylist([r | {"ord": k} for k, r in enumerate(extract_file(path, content))], schema=schema)
 
-    return files.select("path", "content").mapInPandas(run, _FACT)
+    return files.select("path", "content").mapInArrow(run, _FACT)
 
 
 def graph_of(found: DataFrame) -> Graph:

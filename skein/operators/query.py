@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,12 +85,15 @@ def dfs(graph: Graph, starts: DataFrame, depth: int = 3) -> DataFrame:
     adj = adj.join(known, ["a", "b"], "left").select("a", "b", "pos", "known")
     rows = adj.union(starts.select("id", F.lit(None).cast("string"), F.coalesce("ord", F.lit(0)), F.lit(False)))
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(frames)).sort_values("pos", kind="stable")
-        first = df[df.b.isna()].a.tolist()
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list[str] = []
         links: dict[str, list] = {}
-        for a, b, known_ in df[df.b.notna()][["a", "b", "known"]].itertuples(index=False):
-            links.setdefault(a, []).append((b, known_))
+        for batch in batches:
+            for a, b, _, known_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if b is None:
+                    first.append(a)
+                else:
+                    links.setdefault(a, []).append((b, known_))
         stack, seen, out = [(a, 0) for a in reversed(first)], set(), []
         while stack:
             a, d = stack.pop()
@@ -103,11 +106,10 @@ def dfs(graph: Graph, starts: DataFrame, depth: int = 3) -> DataFrame:
                     stack.append((b, d + 1))
                     if known_ is True:
                         out.append(("edge", a, b))
-        made = pd.DataFrame(out, columns=["kind", "a", "b"])
-        made["ord"] = range(len(made))
-        yield made
+        columns = [pa.array([r[k] for r in out], pa.string()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(range(len(out)), pa.int64())], names=["kind", "a", "b", "ord"])
 
-    return rows.repartition(1).mapInPandas(walk, "kind string, a string, b string, ord long")
+    return rows.repartition(1).sortWithinPartitions("pos", "b").mapInArrow(walk, "kind string, a string, b string, ord long")
 
 
 def shortest_path(graph: Graph, source: str, target: str, max_hops: int = 8) -> list[str] | None:

@@ -22,9 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint."""
+    """The same rows from a reliable checkpoint.  The columns are new ones to Catalyst, so that the rows can be joined with what they come from."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
 
 
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,17 +78,19 @@ def stats(files: DataFrame) -> DataFrame:
 def read(files: DataFrame) -> DataFrame:
     """``path, content``: text of files, null where it isn't UTF-8 or can't be read.  Executors read the files where they are."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = []
-            for p in frame["path"]:
-                try:
-                    texts.append(Path(p).read_bytes().decode())
-                except (OSError, UnicodeDecodeError):
-                    texts.append(None)
-            yield pd.DataFrame({"path": frame["path"], "content": texts})
-
-    return files.select("path").mapInPandas(run, "path string, content string")
+    def text(path: str) -> str | None:
+        try:
+            return Path(path).read_bytes().decode()
+        except (OSError, UnicodeDecodeError):
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                part = batch.column(0).slice(i, 64)
+                yield pa.RecordBatch.from_arrays([part, pa.array([text(p) for p in part.to_pylist()], pa.string())], names=["path", "content"])
+
+    return files.select("path").mapInArrow(run, "path string, content string")
 
 
 def words(files: DataFrame) -> DataFrame:
