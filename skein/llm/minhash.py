@@ -14,6 +14,7 @@ from .common import U, Words, cut, fresh, inside, shuffle_partitions, text_slice
 from .components import components
 
 SHINGLE, K, THRESHOLD, ESTIMATE = 3, 64, 0.5, 0.3
+AGREE = 12  # values that texts of a large block must share before they are linked
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,9 +128,10 @@ def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: fl
     """``t, root``: the hash of a text and its group, for texts that are in a group with another text.
 
     Texts that are equal count once.  A text's sketch values in order of how many texts retain them, rarest first: two sketches
-    with an estimate of at least e share at least e of the larger, so they share one among the first (1 - e) n + 1; only these
-    are linked.  What is so connected forms a block, and the sets of a block meet in one task.  Blocks of more than ``largest``
-    texts are verified pair by pair in a join instead.  Where at most ``held`` texts are in blocks, their hashes are
+    with an estimate of at least e share at least e of the larger, so they share one among the first (1 - e) n + 1, and AGREE
+    (or all that they need to share, if that is less) among the first (1 - e) n + AGREE.  The former are linked; what is
+    so connected forms a block, and the sets of a block meet in one task.  Blocks of more than ``largest`` texts, which weak links chain
+    together, are first divided by links of the latter kind; what is larger even then is verified pair by pair in a join.  Where at most ``held`` texts are in blocks, their hashes are
     broadcast, else joined."""
     spark = docs.sparkSession
     rows = _texts(docs)
@@ -143,16 +145,24 @@ def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: fl
     shared = each.withColumn("df", F.count("*").over(Window.partitionBy("v"))).filter("df > 1")
     by_text = Window.partitionBy("t")
     need = F.ceil(F.col("n") * F.lit(estimate) - F.lit(1e-9))
-    lists = shared.withColumns({"c": F.count("*").over(by_text), "r": F.row_number().over(by_text.orderBy("df", "v"))}).filter(F.col("n") - F.col("c") + F.col("r") <= F.col("n") - need + 1).select("t", "v")
-    lists = cut(lists)
+    lists = shared.withColumns({"c": F.count("*").over(by_text), "r": F.row_number().over(by_text.orderBy("df", "v"))}).withColumns({"need": need, "over": F.col("r") - F.col("c") + need})
+    wide = cut(lists.filter(F.col("over") <= AGREE).select("t", "v", "need", "over"))
+    lists = wide.filter("over <= 1").select("t", "v")
     links = lists.join(lists.groupBy("v").agg(F.min("t").alias("m"), F.count("*").alias("c")).filter("c > 1").drop("c"), "v").filter("t <> m").select(F.col("t").alias("a"), F.col("m").alias("b"))
     blocks = cut(components(links).select(F.col("node").alias("t"), F.col("root").alias("block")))
+    large = blocks.groupBy("block").count().filter(F.col("count") > largest).select("block")
+    if not large.isEmpty():
+        inside = wide.join(blocks.join(F.broadcast(large), "block"), "t").select("block", "t", "v", "need")
+        other = inside.select("block", F.col("t").alias("o"), "v", F.col("need").alias("also"))
+        agree = inside.join(other, ["block", "v"]).filter("t < o").groupBy("t", "o").agg(F.count("*").alias("c"), F.max(F.greatest("need", "also")).alias("need"))
+        finer = components(agree.filter(F.col("c") >= F.least(F.lit(AGREE), F.col("need"))).select(F.col("t").alias("a"), F.col("o").alias("b")))
+        blocks = cut(blocks.join(F.broadcast(large), "block", "left_anti").select("t", "block").union(finer.select("node", "root")))
+        large = blocks.groupBy("block").count().filter(F.col("count") > largest).select("block")
     n = blocks.count()
     if n == 0:
         return spark.createDataFrame([], "t long, root long")
     once = rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
     chosen = blocks.join(once, "t").select("t", "block", "doc_id")
-    large = blocks.groupBy("block").count().filter(F.col("count") > largest).select("block")
     some_large = not large.isEmpty()
 
     def sets_of(keep: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
@@ -212,8 +222,8 @@ def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: fl
     else:
         members = cut(members.dropDuplicates(["t"]))
         together = members.join(large, "block", "left_anti").repartition(parts, "block").sortWithinPartitions("block", "t").mapInArrow(grouped, "t long, root long")
-        wide = lists.join(blocks.join(large, "block"), "t").select("t", "v")
-        pairs = wide.join(wide.select(F.col("t").alias("o"), "v"), "v").filter("t < o").select("t", "o").distinct()
+        left = lists.join(blocks.join(large, "block"), "t").select("t", "v")
+        pairs = left.join(left.select(F.col("t").alias("o"), "v"), "v").filter("t < o").select("t", "o").distinct()
         s = members.join(large, "block").select("t", "s")
         met = pairs.join(s, "t").join(s.select(F.col("t").alias("o"), F.col("s").alias("z")), "o")
         same = F.size(F.array_intersect("s", "z"))

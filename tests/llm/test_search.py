@@ -75,7 +75,7 @@ def brute_near(rows):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"held": 0}, {"largest": 0}])
+@pytest.mark.parametrize("options", [{}, {"held": 0}, {"largest": 0}, {"largest": 6}])
 def test_near_duplicates(spark, corpus, options):
     got = {tuple(r) for r in near_duplicates(table(spark, corpus), **options).collect()}
     want = brute_near(corpus)
