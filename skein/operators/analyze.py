@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from math import comb
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -187,7 +188,7 @@ def betweenness(graph: Graph, held: int = 20_000_000) -> DataFrame:
                         total[w] = total.get(w, 0.0) + share[w]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["id", "score"])
 
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0  # both directions of a pair are counted
+    scale = 0.5 / comb(n - 1, 2) if n > 2 else 0.0  # both directions of a pair are counted
     parts = ids.repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(brandes, "id string, score double")
     summed = parts.groupBy("id").agg(F.sum("score").alias("s"))
     return ids.join(summed, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
