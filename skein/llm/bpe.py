@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from pathlib import Path
@@ -20,7 +21,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts in which a space touches other white space, or with rare white space, are split by the pattern as a whole.
 IRREGULAR = r"  | \n| $|[\t\r\f\v\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-CACHED = 300_000
+CACHED = 200_000
 
 
 def load(vocabulary: bytes) -> dict[bytes, int]:
@@ -66,28 +67,32 @@ class Encoder:
     def __init__(self, vocabulary: bytes) -> None:
         self.ranks = load(vocabulary)
         self.split = regex.compile(PATTERN).findall
-        self.pieces: dict[str, list[int]] = {}
-        self.chunks: dict[str, np.ndarray] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
-    def text(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """The ids as 32-bit integers side by side."""
+        out: list[bytes] = []
         if len(self.pieces) > CACHED:
             self.pieces.clear()
         known = self.pieces
         for p in self.split(text):
             ids = known.get(p)
             if ids is None:
-                ids = known[p] = merge(p.encode(), self.ranks)
-            out += ids
-        return out
+                ids = known[p] = array("i", merge(p.encode(), self.ranks)).tobytes()
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def text(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
-    def chunk(self, text: str) -> np.ndarray:
+    def chunk(self, text: str) -> bytes:
         """A run of text without space but perhaps at its start; they recur."""
         ids = self.chunks.get(text)
         if ids is None:
             if len(self.chunks) > CACHED:
                 self.chunks.clear()
-            ids = self.chunks[text] = np.array(self.text(text), np.int32)
+            ids = self.chunks[text] = self.packed(text)
         return ids
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +115,7 @@ class Encoder:
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         for i in np.flatnonzero(odd).tolist():  # such a text has one empty chunk so far
             code[offsets[i]] = len(ids)
-            ids.append(np.array(self.text(texts[i].as_py()), np.int32))
+            ids.append(self.packed(texts[i].as_py()))
         flat, begin = _flatten(ids)
         size = np.diff(begin)[code]
         starts = np.concatenate(([0], np.cumsum(size)))
@@ -120,9 +125,9 @@ class Encoder:
         return out, np.cumsum(rows)
 
 
-def _flatten(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    begin = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int64)
-    return (np.concatenate(arrays) if arrays else np.zeros(0, np.int32)), begin
+def _flatten(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.concatenate(([0], np.cumsum([len(x) for x in packed]))).astype(np.int64) // 4
+    return np.frombuffer(b"".join(packed), np.int32), begin
 
 
 class Decoder:

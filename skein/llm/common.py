@@ -75,6 +75,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE
             to = max(at + 1, int(np.searchsorted(lengths, done + limit, "right")))
             yield batch.slice(at, to - at), pa.concat_arrays([texts.slice(at, to - at)])
             at = to
+        del texts
+        pa.default_memory_pool().release_unused()  # else the worker keeps what its largest batch took
 
 
 def string_parts(a: pa.Array) -> tuple[np.ndarray, np.ndarray]:
