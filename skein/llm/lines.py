@@ -112,6 +112,7 @@ def _neighbours(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
     substitution apart; a variant that equals a line is an insertion.  So each group of equal variants names one earliest line, and no
     pairs within a group are formed.  The edit distance of what remains is verified on the texts."""
     spark = docs.sparkSession
+    unique = unique.filter("k0 is not null")
     matched = cut(unique.select(F.explode(F.array("k0", "k1", "k2", "k3")).alias("k")).groupBy("k").count().filter("count > 1").select("k"))
     log2 = bits_for(matched.count())
     bits = spark.sparkContext.broadcast(bitmap(matched, "k", log2))
@@ -177,16 +178,18 @@ def _neighbours(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
     return sure.groupBy("h").agg(F.min("o").alias("o")).select("h", F.col("o.doc").alias("doc"), F.col("o.line").alias("line"))
 
 
-def _fallen(docs: DataFrame, least: int, edits: int) -> DataFrame:
-    """``doc, t, line, best``: every line that falls, with the hash of its text."""
+def _fallen(docs: DataFrame, least: int, edits: int, shortest: int | None) -> DataFrame:
+    """``doc, t, line, best``: every line that falls, with the hash of its text.  Lines of fewer than ``least`` characters have no
+    keys ``k0`` to ``k3`` and so no neighbours."""
+    shortest = least if shortest is None else shortest
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("t"), text.alias("text")).filter(F.length("text") >= least)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("t"), text.alias("text")).filter(F.length("text") >= shortest)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, "text"):
-            x = Lines(texts, least)
-            k, of = x.halves(), pa.array(x.of)
-            yield pa.RecordBatch.from_arrays([_signed(x.hash), batch.column(0).take(of), batch.column(1).take(of), pa.array(x.no, pa.int32()), *(_signed(k[:, i]) for i in range(4))], names=["h", "doc", "t", "line", "k0", "k1", "k2", "k3"])
+            x = Lines(texts, shortest)
+            k, of, short = x.halves(), pa.array(x.of), x.n < least
+            yield pa.RecordBatch.from_arrays([_signed(x.hash), batch.column(0).take(of), batch.column(1).take(of), pa.array(x.no, pa.int32()), *(pa.array(np.ascontiguousarray(k[:, i]).view(np.int64), mask=short) for i in range(4))], names=["h", "doc", "t", "line", "k0", "k1", "k2", "k3"])
 
     lines = cut(rows.mapInArrow(scan, "h long, doc long, t long, line int, k0 long, k1 long, k2 long, k3 long"))
     place = F.struct(F.isnull("doc").alias("none"), "doc", "line")
@@ -200,25 +203,25 @@ def _fallen(docs: DataFrame, least: int, edits: int) -> DataFrame:
     return fell.select("doc", "t", "line", "best")
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, shortest: int | None = None) -> DataFrame:
     """The lines that fall: ``doc_id, line, kept_doc_id, kept_line, edits``.
 
     Lines end at newlines, are trimmed of spaces, tabs and carriage returns, are numbered from 0 and count if they have at least
-    ``least`` characters.  A line falls if one at an earlier (doc_id, line) is equal or, with ``edits`` = 1, is one inserted,
+    ``shortest`` characters, or ``least`` if that is None; those shorter than ``least`` fall by equal lines only.  A line falls if one at an earlier (doc_id, line) is equal or, with ``edits`` = 1, is one inserted,
     deleted or substituted character away, whether or not that one falls itself; the earliest such place is named, and 0 or 1
     ``edits``.  Null ids come last; lines at the same place, of rows that repeat an id, aren't earlier than each other.  Null and
     empty texts have no lines; repeated rows give the same lines once; other columns are ignored."""
-    fell = _fallen(docs, least, edits)
+    fell = _fallen(docs, least, edits, shortest)
     return fell.select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("best.doc").alias("kept_doc_id"), F.col("best.line").cast("long").alias("kept_line"), F.col("best.edits").cast("long").alias("edits")).distinct()
 
 
-def without_repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, shortest: int | None = None) -> DataFrame:
     """``docs`` without the lines that ``repeated_lines`` names, and without the rows of which nothing but blanks is left then.
 
     A column ``n_chars`` is set to the new length of a text that has changed; all other columns stay.  Rows without such lines stay
     as they are, also null and empty ones."""
     key, gone, t = fresh(docs, "key", "gone", "t")
-    by_doc = _fallen(docs, least, edits).groupBy(F.col("doc").alias(key), F.col("t").alias(t)).agg(F.collect_set("line").alias(gone))
+    by_doc = _fallen(docs, least, edits, shortest).groupBy(F.col("doc").alias(key), F.col("t").alias(t)).agg(F.collect_set("line").alias(gone))
     text, lost = F.col("text").cast("string"), F.col(gone)
     joined = docs.join(by_doc, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(t)), "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")

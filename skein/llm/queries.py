@@ -53,6 +53,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline does it: equal lines of every length, which OP7 in SQL doesn't count."""
+    return repeated_lines(_table(spark, sf_dir, "documents"), shortest=1)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -67,4 +72,4 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op3_substring_dedup, op4_toxicity, op5_bpe, op6_languages, op7_line_dedup, op8_near_duplicates, op9_html, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_fingerprints, op3_substring_dedup, op4_toxicity, op5_bpe, op6_languages, op7_line_dedup, op7_line_dedup_whole, op8_near_duplicates, op9_html, op10_chat)}

@@ -173,6 +173,20 @@ def test_repeated_lines(spark, lined):
     assert exact < {r[:2] for r in brute_lines(lined)}
 
 
+def test_short_lines(spark, lined):
+    """Equal lines of every length fall; only the neighbourhood has a least length."""
+    rows = lined + [(70, "Notes\n}\nNotes"), (71, "}\nNotez\n \nNotes\t")]
+    got = {tuple(r) for r in repeated_lines(table(spark, rows), shortest=1).collect()}
+    assert {r for r in got if r[0] in (70, 71)} == {(70, 2, 70, 0, 0), (71, 0, 70, 1, 0), (71, 3, 70, 0, 0)}
+    alone = [r for r in rows if [x[0] for x in rows].count(r[0]) == 1]  # ids whose lines have one text
+    text = {(i, n): s.strip(" \t\r") for i, t in alone for n, s in enumerate((t or "").split("\n"))}
+    first, want = {}, brute_lines(alone)
+    for p, s in sorted(text.items(), key=lambda x: (x[0][0] is None, x[0][0] or 0, x[0][1])):
+        if 0 < len(s) < 16 and first.setdefault(s, p) != p:
+            want.add((*p, *first[s], 0))
+    assert {tuple(r) for r in repeated_lines(table(spark, alone), shortest=1).collect()} == want
+
+
 def test_without_repeated_lines(spark, lined):
     docs = table(spark, lined).selectExpr("*", "1 as t", "2 as gone", "3 as h", "4 as line")
     got = without_repeated_lines(docs)
