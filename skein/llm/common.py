@@ -167,8 +167,12 @@ class Words:
 
     @property
     def hash(self) -> np.ndarray:
+        return self.span_hash(self.start, self.end)
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of spans of ``data``, as ``hash`` gives them for words."""
         p = prefix_hash(_BYTE[self.data])
-        return mix((p[self.end] - p[self.start]) * powers(len(p))[1][self.start], 1)
+        return mix((p[end] - p[start]) * powers(len(p))[1][start], 1)
 
     def strings(self, which: np.ndarray) -> list[str]:
         raw = self.data.tobytes()

@@ -64,17 +64,24 @@ class Templates:
         self.kind = kind
         self.key = np.where(kind == WORD, h, _PLACE[kind])
 
-    def good(self, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows within one text that have enough literal words, and their hashes."""
+        self.same = self.words.span_hash(self.start, self.end)
+
+    def windows(self, width: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows within one text, whether they have too few literal words, and their hashes, which are then those of
+        the tokens as they stand."""
         at = inside(self.row, len(self.key), width)
+        if not len(at):
+            return at, np.zeros(0, bool), np.zeros(0, U)
         lit = np.concatenate(([0], np.cumsum(self.kind == WORD)))
-        at = at[lit[at + width] - lit[at] >= literals]
-        return at, windows(self.key, width)[at] if len(at) else np.zeros(0, U)
+        few = lit[at + width] - lit[at] < literals
+        return at, few, np.where(few, mix(windows(self.same, width)[at], 12), windows(self.key, width)[at])
 
-    def show(self, at: int, width: int, raw: bytes) -> tuple[str, list[str]]:
-        """A window's template, and its slot values, each with its kind."""
+    def show(self, at: int, width: int, raw: bytes, few: bool) -> tuple[str, list[str]]:
+        """A window's template, and its slot values, each with its kind.  With ``few`` literal words the template is the text
+        itself after a ``=``, which no template has."""
         spans = [(self.kind[i], raw[self.start[i] : self.end[i]].decode()) for i in range(at, at + width)]
-        return " ".join(SHOWN[k] or t for k, t in spans), [f"{SHOWN[k]}{t}" for k, t in spans if k != WORD]
+        template = "= " + " ".join(t for _, t in spans) if few else " ".join(SHOWN[k] or t for k, t in spans)
+        return template, [f"{SHOWN[k]}{t}" for k, t in spans if k != WORD]
 
 
 def _windows(df: DataFrame, id_col: str, text: str, width: int, literals: int, item: bool, bits=None, log2: int = 0, widths: tuple[int, ...] = ()) -> DataFrame:
@@ -87,13 +94,13 @@ def _windows(df: DataFrame, id_col: str, text: str, width: int, literals: int, i
             rows: dict[str, list] = {"id": [], "pos": [], "total": [], "width": [], "key": [], "template": [], "slots": []}
             counts = np.diff(t.row)
             for wide in sorted(set(np.minimum(counts[counts > 0], width).tolist())) if item else widths:
-                at, h = t.good(wide, min(literals, wide))
+                at, few, h = t.windows(wide, min(literals, wide))
                 if item:
                     keep = np.minimum(counts[of[at]], width) == wide
                 else:
                     keep = in_bitmap(bits.value, h, log2)
-                for i, k in zip(at[keep].tolist(), h[keep].tolist()):
-                    template, slots = t.show(i, wide, raw)
+                for i, f, k in zip(at[keep].tolist(), few[keep].tolist(), h[keep].tolist()):
+                    template, slots = t.show(i, wide, raw, f)
                     rows["id"].append(ids[int(of[i])].as_py())
                     rows["pos"].append(i - int(t.row[of[i]]))
                     rows["total"].append(int(counts[of[i]]) - wide + 1)
@@ -114,7 +121,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
     item's, whichever is less, and its slots are consistent: no slot value of the item stands for two values of the document.
     ``matched`` is the most on one alignment, ``first_token`` the first place in the document, ``slots`` the largest number of
     different slot values of an alignment.  An item shorter than ``width`` is one window of its own length; windows with fewer
-    than ``literals`` ordinary words (or their length, if less) never match.  Rows whose id or text is null are left out; empty
+    than ``literals`` ordinary words (or their length, if less) match only word for word.  Rows whose id or text is null are left out; empty
     texts match nothing; repeated rows count once; other columns are ignored.
 
     The benchmark's windows set a bitmap of bounded size, which lets few windows of documents through to the join; whatever the
@@ -128,6 +135,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
     found = _windows(docs, "doc_id", "text", width, literals, False, bits, log2, widths)
     i = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("total").alias("item_windows"), "template", F.col("slots").alias("item_slots"))
     hits = found.select(F.col("id").alias("doc_id"), "pos", "template", "slots").join(i, "template")
+    hits = hits.withColumn("slots", F.when(F.col("template").startswith("="), F.col("item_slots")).otherwise(F.col("slots")))
     lined = hits.groupBy("doc_id", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
         F.countDistinct("item_pos").alias("matched"),
         F.min("pos").alias("first_token"),

@@ -239,6 +239,14 @@ def test_leaks(spark):
     assert leaks(wrong, mixed).count() == 0
 
 
+def test_leaks_with_few_words(spark):
+    """Items of numbers and names are found word for word, and only so."""
+    items = [(1, "Compute 12 * 7 + 5 - 3"), (2, "Anna Berg, 3 May 1871; Carl Dahl, 4 June 1902; Eva Falk, 9 July 1911; Gus Holm, 2 March 1920"), (3, "31 / 8")]
+    docs = [(1, "Homework. Compute 12 * 7 + 5 - 3 now"), (2, "Homework. Compute 12 * 7 + 5 - 4 now"), (3, f"We met {items[1][1]} there."), (4, "Compute 13 * 7 + 5 - 3"), (5, items[1][1].replace("1", "8")), (6, "it is 31 / 8 or so")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(table(spark, docs), bench).collect()} == {(1, 1), (3, 2), (6, 3)}
+
+
 def test_imatch(spark, corpus):
     docs = table(spark, corpus)
     rows = imatch(docs).collect()
