@@ -11,6 +11,7 @@ from skein.operators import build as B
 from skein.operators import cluster as C
 from skein.operators import hyper as H
 from skein.operators import query as Q
+from skein.operators.report import report_lines
 from skein.plans.graph import EDGE, NODE, Graph, conform
 
 
@@ -229,3 +230,16 @@ def test_cross_community_surprises(spark):
     rows = A.surprises(g).collect()
     assert [(r.source, r.target) for r in rows] == [("z", "h1"), ("h0", "x")]
     assert rows[1].why.endswith("peripheral node unexpectedly reaches hub") and rows[1].score == 4
+
+
+def test_report_lists_all(spark):
+    """All ambiguous edges and thin communities; what isn't shown takes no place among the first."""
+    hidden = [(f"__{i:02d}", "f.py", 1) for i in range(60)]
+    nodes = hidden + [("shown", "f.py", 1), ("alone", "g.py", 2), ("other", "g.py", 3), ("third", "g.py", 3)]
+    lines = report_lines(graph(spark, nodes, [(f"__{i:02d}", f"__{i + 1:02d}", "calls", "AMBIGUOUS") for i in range(25)]), bridges=False)
+    at = lines.index("## Ambiguous edges")
+    assert lines[at + 1 : at + 26] == [f"- `__{i:02d}` calls `__{i + 1:02d}`" for i in range(25)] and lines[at + 26] == ""
+    assert [x.split(": ")[-1] for x in lines if "(61 nodes" in x] == ["`shown`"]
+    assert "- isolated: `shown`" in lines and "- isolated: `alone`" in lines and not [x for x in lines if x.startswith("- isolated: `__")]
+    thin = [x for x in lines if x.startswith("- thin: ")]
+    assert len(thin) == 2 and "(community 2, 1 nodes)" in thin[0] and "(community 3, 2 nodes)" in thin[1]
