@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, runs of ``width`` template tokens of documents and benchmark items
-are hash-joined, and an alignment of a document with an item counts only where each slot value of the item stands for
-one value of the document throughout.  A question whose numbers or names were exchanged is therefore found as well.
+are hash-joined, and of an alignment of a document with an item those windows count whose slot values each stand for one
+value of the document throughout, or that agree word for word.  A question whose numbers or names were exchanged is therefore found as well.
 """
 
 from __future__ import annotations
@@ -118,9 +118,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
     """Documents that contain benchmark items: ``doc_id, item_id, matched, item_windows, first_token, slots``.
 
     A pair is reported if, on one alignment, the template windows that agree number at least ``enough`` or ``share`` of the
-    item's, whichever is less, and its slots are consistent: no slot value of the item stands for two values of the document.
+    item's, whichever is less.  Windows with a slot value of the item that stands for two values of the document on the alignment,
+    besides those that agree word for word, don't count.
     ``matched`` is the most on one alignment, ``first_token`` the first place in the document, ``slots`` the largest number of
-    different slot values of an alignment.  An item shorter than ``width`` is one window of its own length; windows with fewer
+    different slot values in the windows that count on one.  An item shorter than ``width`` is one window of its own length; windows with fewer
     than ``literals`` ordinary words (or their length, if less) match only word for word.  Rows whose id or text is null are left out; empty
     texts match nothing; repeated rows count once; other columns are ignored.
 
@@ -137,13 +138,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
     hits = found.select(F.col("id").alias("doc_id"), "pos", "template", "slots").join(i, "template")
     hits = hits.withColumn("slots", F.when(F.col("template").startswith("="), F.col("item_slots")).otherwise(F.col("slots")))
     lined = hits.groupBy("doc_id", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.countDistinct("item_pos").alias("matched"),
-        F.min("pos").alias("first_token"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"),
+        F.collect_set(F.struct("item_pos", "pos", "item_slots", "slots")).alias("hits")
     )
-    sure = lined.withColumn("slots", F.size(F.array_distinct(F.col("pairs.item_slots")))).filter(
-        (F.size("pairs") == F.col("slots")) & (F.col("matched") >= F.least(F.lit(enough), F.ceil(F.col("item_windows") * F.lit(share))))
+    enough_of = F.least(F.lit(enough), F.ceil(F.col("item_windows") * F.lit(share)))
+    pairs = F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda x: x.item_slots != x.slots), lambda x: F.arrays_zip(x.item_slots.alias("a"), x.slots.alias("b")))))
+    lined = lined.filter(F.size("hits") >= enough_of).withColumn("pairs", pairs)
+    clash = F.when(F.size("pairs") == F.size(F.array_distinct("pairs.a")), F.array().cast("array<string>")).otherwise(
+        F.transform(F.filter("pairs", lambda x: F.size(F.filter("pairs", lambda y: y.a == x.a)) > 1), lambda x: x.a)
     )
+    counted = lined.withColumn("clash", clash).withColumn("hits", F.filter("hits", lambda x: (x.item_slots == x.slots) | ~F.arrays_overlap(x.item_slots, "clash")))
+    counted = counted.withColumns({"matched": F.size(F.array_distinct("hits.item_pos")), "first_token": F.array_min("hits.pos"), "slots": F.size(F.array_distinct(F.flatten("hits.item_slots")))})
+    sure = counted.filter(F.col("matched") >= enough_of)
     return sure.groupBy("doc_id", "item_id").agg(
         F.max("matched").cast("long").alias("matched"), F.max("item_windows").cast("long").alias("item_windows"), F.min("first_token").cast("long").alias("first_token"), F.max("slots").cast("long").alias("slots")
     )

@@ -247,6 +247,21 @@ def test_leaks_with_few_words(spark):
     assert {(r.doc_id, r.item_id) for r in leaks(table(spark, docs), bench).collect()} == {(1, 1), (3, 2), (6, 3)}
 
 
+def test_leaks_with_a_changed_mention(spark):
+    """One slot value that stands for two takes only its own windows away, and none that agree word for word."""
+    item = f"Anna has 12 hens in a coop. {' '.join(WORDS[:20])} and the 12 hens of hers lay 3 eggs each on every single day"
+    other = item.replace("12", "40").replace("Anna", "Peter")
+    docs = [(1, item), (2, item[::-1].replace("21", "31", 1)[::-1]), (3, other), (4, other.replace("40", "41", 1)), (5, "a doc of its own")]
+    assert docs[1][1] != item and docs[3][1] != other
+    short = "the 12 hens and 12 cows eat 12 kg of dry hay daily"
+    more = [(6, short.replace("12", "15")), (7, short.replace("12", "15", 1)), (8, short.replace("12 hens", "15 hens").replace("12 kg", "13 kg"))]
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks(table(spark, docs + more), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 2), (7, 2)}
+    n = got[1, 1].item_windows
+    assert got[1, 1].matched == n >= got[2, 1].matched >= 6 and got[3, 1].matched > got[4, 1].matched >= 6
+
+
 def test_imatch(spark, corpus):
     docs = table(spark, corpus)
     rows = imatch(docs).collect()
