@@ -181,6 +181,8 @@ def _neighbours(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
 def _fallen(docs: DataFrame, least: int, edits: int, shortest: int | None) -> DataFrame:
     """``doc, t, line, best``: every line that falls, with the hash of its text.  Lines of fewer than ``least`` characters have no
     keys ``k0`` to ``k3`` and so no neighbours."""
+    if edits not in (0, 1):
+        raise ValueError(f"edits = {edits}: only 0 and 1 are supported")
     shortest = least if shortest is None else shortest
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("t"), text.alias("text")).filter(F.length("text") >= shortest)

@@ -187,6 +187,12 @@ def test_short_lines(spark, lined):
     assert {tuple(r) for r in repeated_lines(table(spark, alone), shortest=1).collect()} == want
 
 
+def test_unsupported_edits(spark, lined):
+    for f in (repeated_lines, without_repeated_lines):
+        with pytest.raises(ValueError, match="edits = 2"):
+            f(table(spark, lined), edits=2)
+
+
 def test_without_repeated_lines(spark, lined):
     docs = table(spark, lined).selectExpr("*", "1 as t", "2 as gone", "3 as h", "4 as line")
     got = without_repeated_lines(docs)
