@@ -8,29 +8,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components as linked
 from ..plans.graph import EXTRACTED, Graph
 from ..plans.session import cut, numbered
 
 
-def components(graph: Graph, most_rounds: int = 60) -> DataFrame:
-    """``id, root``: the least id of each node's component, over edges between nodes.  Alternating stars: each round hangs the larger
-    neighbours of a node, then all the smaller ones, on the least of them."""
+def components(graph: Graph) -> DataFrame:
+    """``id, root``: the least id of each node's component, over edges between nodes; a node without links is its own root."""
     ids = graph.nodes.select("id").distinct()
     e = graph.edges.filter("source <> target").join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi")
-    e = cut(e.select(F.greatest("source", "target").alias("a"), F.least("source", "target").alias("b")).distinct())
-    seen = None
-    for _ in range(most_rounds):
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-        high = both.join(least, "a").filter("b > a and b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = high.groupBy("a").agg(F.min("b").alias("m"))
-        met = high.join(low, "a")
-        e = cut(met.select("a", F.col("m").alias("b")).union(met.filter("b > m").select("b", "m")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-        if now == seen:
-            return ids.join(e.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-        seen = now
-    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
+    found = linked(e.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def local_move(n: int, edges: list[tuple[int, int, float]], m: float, sweeps: int = 10) -> list[int]:

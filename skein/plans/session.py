@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,20 +11,23 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode only."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode only, which goes when the process ends."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="skein-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint.  The columns are new ones to Catalyst, so that the rows can be joined with what they come from."""
+    """The same rows from a reliable checkpoint: computed once, safe when an executor is lost.  The columns are new ones to Catalyst,
+    so that the rows can be joined with what they come from.  Spark removes the files of a checkpoint that nothing refers to
+    any more where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     shared_dir(df.sparkSession)
     out = df.checkpoint()
     return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
