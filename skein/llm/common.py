@@ -8,7 +8,6 @@ object is made for a word.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,34 +16,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
+
 WORD_SQL = r"[0-9a-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 SLICE_BYTES = (1 << 20) - 64
+HELD = 2_000_000  # rows of a few numbers that may be broadcast
+HOT = 4_000_000  # rows of one key that may meet in one task
 
 
 # ---------------------------------------------------------------- session
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="skein-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint: computed once, safe when an executor is lost."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These names, made unlike every column of ``df`` whatever the case."""
     used = {c.lower() for c in df.columns}
@@ -61,6 +45,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str, n: str | None = None, by: str | None = None, how: str = "inner", held: int = HELD, hot: int = HOT) -> DataFrame:
+    """``rows`` joined with a ``table`` (a checkpoint) that has one row, or few, a key; ``rows`` may have any number.
+
+    At most ``held`` rows of a table are broadcast.  Beyond that it is a shuffle join, in which only the rows of a hot key are
+    many.  Where ``n``, a column of the table that counts them, says that they are more than ``hot``, they are spread by a
+    hash of ``by`` over 64 salts, each of which gets the table's row; such keys are at most a ``hot``-th of the rows, so they are broadcast."""
+    if table.count() <= held:
+        return rows.join(F.broadcast(table), key, how)
+    if n is None:
+        return rows.join(table, key, how)
+    warm, salt = fresh(rows, "warm", "salt")
+    known = table.filter(F.col(n) > hot).select(key, F.lit(True).alias(warm)).distinct()
+    salted = rows.join(F.broadcast(known), key, "left").withColumn(salt, F.when(F.col(warm), F.pmod(F.xxhash64(by), F.lit(64))).otherwise(0)).drop(warm)
+    spread = table.withColumn(salt, F.explode(F.when(F.col(n) > hot, F.sequence(F.lit(0), F.lit(63)).cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))))
+    return salted.join(spread, [key, salt], how).drop(salt)
+
+
 # ---------------------------------------------------------------- Arrow
 
 

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Words, bitmap, bits_for, cut, in_bitmap, inside, text_slices, windows
+from ..plans.session import cut
+from .common import U, Words, bitmap, bits_for, in_bitmap, inside, text_slices, windows
 
 LEAST_WORDS = 50
 

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Words, bitmap, bits_for, cut, in_bitmap, inside, mix, text_slices, windows, word_hash
+from ..plans.session import cut
+from .common import U, Words, bitmap, bits_for, in_bitmap, inside, mix, text_slices, windows, word_hash
 
 UNITS = tuple(
     "mm cm m km kilometers kilometres meters metres miles mile feet foot inch inches g kg mg gram grams kilogram kilograms pounds "

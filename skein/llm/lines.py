@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, bitmap, bits_for, cut, fresh, in_bitmap, mix, powers, prefix_hash, text_slices
+from ..plans.session import cut, numbered
+from .common import U, bitmap, bits_for, fresh, in_bitmap, look_up, mix, powers, prefix_hash, text_slices
 
 LEAST = 16
 BLOCKS = 16
@@ -37,6 +39,7 @@ class Lines:
         self.of, self.no, self.a, self.b = of[some[keep]], no[some[keep]], a[keep], b[keep]
         self.n = self.b - self.a
         self.p = prefix_hash(mix(c.astype(U) + U(1), 9))
+        self.q = prefix_hash(mix(c.astype(U) + U(1), 10))
         self.inv = powers(len(self.p))[1]
 
     def sub(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,6 +50,11 @@ class Lines:
     def hash(self) -> np.ndarray:
         return mix(self.sub(self.a, self.b) ^ mix(self.n.astype(U), 3), 1)
 
+    @property
+    def check(self) -> np.ndarray:
+        """32 more bits, from other hashes of the characters: equal lines are known by both."""
+        return (mix((self.q[self.b] - self.q[self.a]) * self.inv[self.a], 11) >> U(32)).astype(np.uint32).view(np.int32)
+
     def halves(self) -> np.ndarray:
         """Four keys a line.  Lines within one edit share the first half of the shorter, or what follows it: [2 d + i] has half i
         for a shorter line of n - d characters."""
@@ -104,7 +112,7 @@ def _block_keys(x: Lines, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _neighbours(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
-    """``h, doc, line``: for each line within one edit of an earlier one, the earliest such place.
+    """``h, g, doc, line``: for each line within one edit of an earlier one, the earliest such place.
 
     The deletion neighbourhood, every line with one character less, is emitted where a partner is possible: two bitmaps of
     bounded size tell which halves of lines occur in two lines, then which blocks are all that sets two lines apart.  Bits that are set by
@@ -122,7 +130,8 @@ def _neighbours(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
             x = Lines(texts, least)
             ok = in_bitmap(bits.value, x.halves().ravel(), log2).reshape(-1, 4)
             at = np.flatnonzero(ok.any(axis=1))
-            _, first = np.unique(x.hash[at], return_index=True)
+            h, g = x.hash, x.check
+            _, first = np.unique(h[at] ^ mix(g[at].astype(U)), return_index=True)
             at = at[first]
             some = np.zeros(len(ok), bool)
             some[at] = True
@@ -133,57 +142,70 @@ def _neighbours(docs: DataFrame, unique: DataFrame, least: int) -> DataFrame:
             raw = x.chars
             shown = [raw[a:b].tobytes().decode("utf-32-le") for a, b in zip(x.a[at].tolist(), x.b[at].tolist())]
             mask = (ok[at] * np.array([1, 2, 4, 8])).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([_signed(x.hash[at]), pa.array(shown, pa.string()), pa.array(mask, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), _signed(keys[order]))], names=["h", "s", "m", "k"])
+            yield pa.RecordBatch.from_arrays(
+                [_signed(h[at]), pa.array(g[at]), pa.array(shown, pa.string()), pa.array(mask, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), _signed(keys[order]))], names=["h", "g", "s", "m", "k"]
+            )
 
-    found = docs.select("text").mapInArrow(suspects, "h long, s string, m int, k array<long>").dropDuplicates(["h"])
-    some = cut(found.join(unique.select("h", "doc", "line"), "h"))
-    matched2 = cut(some.select(F.explode("k").alias("k")).groupBy("k").count().filter("count > 1").select("k"))
+    found = docs.select("text").mapInArrow(suspects, "h long, g int, s string, m int, k array<long>").dropDuplicates(["h", "g"])
+    found = cut(found.join(unique.select("h", "g", "doc", "line"), ["h", "g"]))
+    matched2 = cut(found.select(F.explode("k").alias("k")).groupBy("k").count().filter("count > 1").select("k"))
     log2b = bits_for(matched2.count())
     bits2 = spark.sparkContext.broadcast(bitmap(matched2, "k", log2b))
-
-    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "s"):
-            x = Lines(texts, 1)  # they are trimmed, so there is one for each text
-            ok = (batch.column(1).to_numpy()[:, None] & np.array([1, 2, 4, 8])) > 0
-            of, d, j, keys = _block_keys(x, ok)
-            hit = in_bitmap(bits2.value, keys, log2b)
-            of, d, j = of[hit], d[hit], j[hit]
-            h = x.hash
-            out = []
-            same = d == 0
-            lo, hi = x.block(of[same], 0, j[same])
-            i, at = _spread(lo, hi)
-            which = of[same][i]
-            out.append((which, mix(x.without(which, at) + mix(at.astype(U), 8), 3), SUBSTITUTED))
-            lo, hi = x.block(of[~same], 1, j[~same])
-            i, at = _spread(lo, hi + 1)
-            which = of[~same][i]
-            out.append((which, x.without(which, at), LONGER))
-            which = np.unique(of[same])
-            out.append((which, h[which], SHORTER))
-            which = np.concatenate([o[0] for o in out])
-            role = np.concatenate([np.full(len(o[0]), o[2]) for o in out])
-            take = pa.array(which)
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([o[1] for o in out])), pa.array(role, pa.int32()), _signed(h[which]), batch.column(2).take(take), batch.column(3).take(take)], names=["key", "role", "h", "doc", "line"])
-
-    v = some.select("s", "m", "doc", "line").mapInArrow(variants, "key long, role int, h long, doc long, line int")
-    place = F.struct(F.isnull("doc").alias("none"), "doc", "line", "h")
-    by_key = Window.partitionBy("key")
-    least_of = {r: F.min(F.when(F.col("role") == r, place)).over(by_key) for r in (SUBSTITUTED, LONGER, SHORTER)}
-    other = F.when(F.col("role") == SUBSTITUTED, least_of[SUBSTITUTED]).when(F.col("role") == LONGER, least_of[SHORTER]).otherwise(least_of[LONGER])
-    pairs = v.select("h", place.alias("p"), other.alias("o")).filter("o.h <> h and struct(o.none, o.doc, o.line) < struct(p.none, p.doc, p.line)").select("h", "o").distinct()
-    text = some.select("h", "s")
-    near = pairs.join(text, "h").join(text.select(F.col("h").alias("oh"), F.col("s").alias("os")), F.col("oh") == F.col("o.h"))
-    sure = near.filter(F.levenshtein("s", "os", 1).between(0, 1))
-    return sure.groupBy("h").agg(F.min("o").alias("o")).select("h", F.col("o.doc").alias("doc"), F.col("o.line").alias("line"))
-
-
-def _fallen(docs: DataFrame, least: int, edits: int, shortest: int | None) -> DataFrame:
+    # from here on a line is its place among the suspects, so that the least of a group is the least number
+    some = cut(numbered(found.select("h", "g", "s", "m", "doc", "line"), "r", F.isnull("doc"), "doc", "line", "h", "g"))
+
+    def emitted(hot: tuple[Broadcast, int] | None) -> DataFrame:
+        """``key, role, r`` of every variant, or of those whose key may be among the ``hot`` ones."""
+
+        def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in text_slices(batches, "s"):
+                x = Lines(texts, 1)  # they are trimmed, so there is one for each text
+                ok = (batch.column(1).to_numpy()[:, None] & np.array([1, 2, 4, 8])) > 0
+                of, d, j, keys = _block_keys(x, ok)
+                hit = in_bitmap(bits2.value, keys, log2b)
+                of, d, j = of[hit], d[hit], j[hit]
+                same = d == 0
+                out = []
+                lo, hi = x.block(of[same], 0, j[same])
+                i, at = _spread(lo, hi)
+                which = of[same][i]
+                out.append((which, mix(x.without(which, at) + mix(at.astype(U), 8), 3), SUBSTITUTED))
+                lo, hi = x.block(of[~same], 1, j[~same])
+                i, at = _spread(lo, hi + 1)
+                which = of[~same][i]
+                out.append((which, x.without(which, at), LONGER))
+                which = np.unique(of[same])
+                out.append((which, x.hash[which], SHORTER))
+                which, key = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+                role = np.concatenate([np.full(len(o[0]), o[2]) for o in out])
+                if hot is not None:
+                    keep = in_bitmap(hot[0].value, key, hot[1])
+                    which, key, role = which[keep], key[keep], role[keep]
+                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(role, pa.int32()), batch.column(2).take(pa.array(which))], names=["key", "role", "r"])
+
+        return some.select("s", "m", "r").mapInArrow(variants, "key long, role int, r long")
+
+    # the first line of each role in each group, aggregated before the shuffle; only groups of several lines go on
+    least_of = {r: F.min(F.when(F.col("role") == r, F.col("r"))) for r in (SUBSTITUTED, LONGER, SHORTER)}
+    groups = emitted(None).groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n"), *(least_of[r].alias(f"r{r}") for r in least_of))
+    groups = cut(groups.filter("lo < hi").drop("lo", "hi"))
+    log2c = bits_for(groups.count())
+    v = emitted((spark.sparkContext.broadcast(bitmap(groups, "key", log2c)), log2c))
+    other = F.when(F.col("role") == SUBSTITUTED, F.col(f"r{SUBSTITUTED}")).when(F.col("role") == LONGER, F.col(f"r{SHORTER}")).otherwise(F.col(f"r{LONGER}"))
+    pairs = look_up(v, groups, "key", "n", "r").select("r", other.alias("o")).filter("o < r").distinct()
+    text = some.select("r", "h", "g", "s", "doc", "line")
+    near = pairs.join(text, "r").join(text.select(*(F.col(c).alias(f"o_{c}") for c in text.columns)), F.col("o_r") == F.col("o"))
+    earlier = "struct(isnull(o_doc) as none, o_doc as doc, o_line as line) < struct(isnull(doc) as none, doc, line)"
+    sure = near.filter(earlier).filter(F.levenshtein("s", "o_s", 1).between(0, 1))
+    place = F.struct(F.isnull("o_doc").alias("none"), F.col("o_doc").alias("doc"), F.col("o_line").alias("line"))
+    return sure.groupBy("h", "g").agg(F.min(place).alias("o")).select("h", "g", F.col("o.doc").alias("doc"), F.col("o.line").alias("line"))
+
+
+def _fallen(docs: DataFrame, least: int, edits: int, shortest: int) -> DataFrame:
     """``doc, t, line, best``: every line that falls, with the hash of its text.  Lines of fewer than ``least`` characters have no
     keys ``k0`` to ``k3`` and so no neighbours."""
     if edits not in (0, 1):
         raise ValueError(f"edits = {edits}: only 0 and 1 are supported")
-    shortest = least if shortest is None else shortest
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("t"), text.alias("text")).filter(F.length("text") >= shortest)
 
@@ -191,33 +213,38 @@ def _fallen(docs: DataFrame, least: int, edits: int, shortest: int | None) -> Da
         for batch, texts in text_slices(batches, "text"):
             x = Lines(texts, shortest)
             k, of, short = x.halves(), pa.array(x.of), x.n < least
-            yield pa.RecordBatch.from_arrays([_signed(x.hash), batch.column(0).take(of), batch.column(1).take(of), pa.array(x.no, pa.int32()), *(pa.array(np.ascontiguousarray(k[:, i]).view(np.int64), mask=short) for i in range(4))], names=["h", "doc", "t", "line", "k0", "k1", "k2", "k3"])
+            keys = [pa.array(np.ascontiguousarray(k[:, i]).view(np.int64), mask=short) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([_signed(x.hash), pa.array(x.check), batch.column(0).take(of), batch.column(1).take(of), pa.array(x.no, pa.int32()), *keys], names=["h", "g", "doc", "t", "line", "k0", "k1", "k2", "k3"])
 
-    lines = cut(rows.mapInArrow(scan, "h long, doc long, t long, line int, k0 long, k1 long, k2 long, k3 long"))
+    lines = cut(rows.mapInArrow(scan, "h long, g int, doc long, t long, line int, k0 long, k1 long, k2 long, k3 long"))
     place = F.struct(F.isnull("doc").alias("none"), "doc", "line")
     keys = [F.first(f"k{i}").alias(f"k{i}") for i in range(4)]
-    unique = cut(lines.groupBy("h").agg(F.min(place).alias("p"), F.count("*").alias("n"), *keys).select("h", "n", F.col("p.doc").alias("doc"), F.col("p.line").alias("line"), *(f"k{i}" for i in range(4))))
-    first = unique.filter("n > 1").select("h", "doc", "line", F.lit(0).alias("edits"))
+    unique = lines.groupBy("h", "g").agg(F.min(place).alias("p"), F.count("*").alias("n"), *keys)
+    unique = cut(unique.select("h", "g", "n", F.col("p.doc").alias("doc"), F.col("p.line").alias("line"), *(f"k{i}" for i in range(4))))
+    first = unique.filter("n > 1").select("h", "g", "doc", "line", F.lit(0).alias("edits"), "n")
     if edits:
-        first = first.union(_neighbours(rows, unique, least).withColumn("edits", F.lit(1)))
-    best = first.groupBy("h").agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "line", "edits")).alias("best"))
-    fell = lines.select("h", "doc", "t", "line").join(best, "h").filter("struct(isnull(doc) as none, doc, line) > struct(best.none, best.doc, best.line)")
-    return fell.select("doc", "t", "line", "best")
+        first = first.union(_neighbours(rows, unique, least).withColumns({"edits": F.lit(1), "n": F.lit(1)}))
+    best = cut(first.groupBy("h", "g").agg(F.min(F.struct(F.isnull("doc").alias("none"), "doc", "line", "edits")).alias("best"), F.max("n").alias("n")))
+    fell = look_up(lines.select("h", "g", "doc", "t", "line"), best.withColumnRenamed("g", "check"), "h", "n", "line")
+    return fell.filter("g = check and struct(isnull(doc) as none, doc, line) > struct(best.none, best.doc, best.line)").select("doc", "t", "line", "best")
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, shortest: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, shortest: int = 1) -> DataFrame:
     """The lines that fall: ``doc_id, line, kept_doc_id, kept_line, edits``.
 
     Lines end at newlines, are trimmed of spaces, tabs and carriage returns, are numbered from 0 and count if they have at least
-    ``shortest`` characters, or ``least`` if that is None; those shorter than ``least`` fall by equal lines only.  A line falls if one at an earlier (doc_id, line) is equal or, with ``edits`` = 1, is one inserted,
-    deleted or substituted character away, whether or not that one falls itself; the earliest such place is named, and 0 or 1
-    ``edits``.  Null ids come last; lines at the same place, of rows that repeat an id, aren't earlier than each other.  Null and
-    empty texts have no lines; repeated rows give the same lines once; other columns are ignored."""
+    ``shortest`` characters.  A line falls if one at an earlier (doc_id, line) is equal or, with ``edits`` = 1 and if both have at
+    least ``least`` characters, is one inserted, deleted or substituted character away, whether or not that one falls itself;
+    the earliest such place is named, and 0 or 1 ``edits``.  Other bounds of edits are refused.
+
+    Null ids come last; lines at the same place, of rows that repeat an id, aren't earlier than each other.  Null and
+    empty texts have no lines, nor have blank ones; an empty table gives no rows; repeated rows give the same lines once; texts and lines may be of any length;
+    other columns are ignored, whatever their names."""
     fell = _fallen(docs, least, edits, shortest)
     return fell.select(F.col("doc").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("best.doc").alias("kept_doc_id"), F.col("best.line").cast("long").alias("kept_line"), F.col("best.edits").cast("long").alias("edits")).distinct()
 
 
-def without_repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, shortest: int | None = None) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, shortest: int = 1) -> DataFrame:
     """``docs`` without the lines that ``repeated_lines`` names, and without the rows of which nothing but blanks is left then.
 
     A column ``n_chars`` is set to the new length of a text that has changed; all other columns stay.  Rows without such lines stay

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, Words, cut, fresh, inside, shuffle_partitions, text_slices, windows
-from .components import components
+from ..plans.components import components
+from ..plans.session import cut
+from .common import U, Words, fresh, inside, shuffle_partitions, text_slices, windows
 
 SHINGLE, K, THRESHOLD, ESTIMATE = 3, 64, 0.5, 0.3
 AGREE = 12  # values that texts of a large block must share before they are linked

@@ -75,9 +75,9 @@ SELECT doc_id, CAST(min(pos) AS BIGINT) AS first_word, CAST(count(*) + 49 AS BIG
 
 OP7 = r"""
 WITH raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE doc_id IS NOT NULL),
-lines AS MATERIALIZED (SELECT doc_id, line, trim(s, ' ' || chr(9) || chr(13)) AS s FROM raw WHERE length(trim(s, ' ' || chr(9) || chr(13))) >= 16),
+lines AS MATERIALIZED (SELECT doc_id, line, trim(s, ' ' || chr(9) || chr(13)) AS s FROM raw WHERE length(trim(s, ' ' || chr(9) || chr(13))) >= 1),
 uniq AS MATERIALIZED (SELECT s, min({'d': doc_id, 'l': line}) AS p FROM lines GROUP BY s),
-keys AS (SELECT s, p, length(s) - d AS n, i, CASE WHEN i = 0 THEN left(s, (length(s) - d) // 2) ELSE substr(s, (length(s) - d) // 2 + d + 1) END AS k FROM uniq, range(2) a(d), range(2) b(i)),
+keys AS (SELECT s, p, length(s) - d AS n, i, CASE WHEN i = 0 THEN left(s, (length(s) - d) // 2) ELSE substr(s, (length(s) - d) // 2 + d + 1) END AS k FROM uniq, range(2) a(d), range(2) b(i) WHERE length(s) >= 16),
 near AS (SELECT DISTINCT x.s, y.p FROM keys x JOIN keys y ON x.n = y.n AND x.i = y.i AND x.k = y.k AND x.p > y.p WHERE abs(length(x.s) - length(y.s)) <= 1 AND levenshtein(x.s, y.s) = 1),
 best AS (SELECT s, min({'d': p.d, 'l': p.l, 'e': e}) AS b FROM (SELECT s, p, 0 AS e FROM uniq UNION ALL SELECT s, p, 1 FROM near) GROUP BY s)
 SELECT DISTINCT doc_id, CAST(line AS BIGINT) AS line, b.d AS kept_doc_id, CAST(b.l AS BIGINT) AS kept_line, CAST(b.e AS BIGINT) AS edits

@@ -81,7 +81,8 @@ def _kept(rows, i, n, s):
     from .test_search import distance_one
 
     place = lambda p: (p[0] is None, p[0] or 0, p[1])
-    return len(own) < 16 or not any(place((j, m)) < place((i, n)) and (z.strip(" \t\r") == own or distance_one(z.strip(" \t\r"), own)) for j, t in rows for m, z in enumerate(t.split("\n")))
+    near = lambda z: z == own or min(len(z), len(own)) >= 16 and distance_one(z, own)
+    return not own or not any(place((j, m)) < place((i, n)) and near(z.strip(" \t\r")) for j, t in rows for m, z in enumerate(t.split("\n")))
 
 
 def test_empty_tables(spark, made):
