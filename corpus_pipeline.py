@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.bpe import round_trip
-from skein.llm.common import cut, fresh
+from skein.llm.common import fresh
 from skein.llm.decontaminate import leaks
 from skein.llm.langid import keep_identified, train
 from skein.llm.lines import without_repeated_lines
 from skein.llm.minhash import without_near_duplicates
+from skein.plans.session import cut
 
 #: Viterbi finds the languages; SQL can't express it, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
@@ -24,7 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document, or an earlier line, has; those that nothing is left of go."""
-    return without_repeated_lines(docs, shortest=1)
+    return without_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
