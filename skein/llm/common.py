@@ -50,15 +50,17 @@ def look_up(rows: DataFrame, table: DataFrame, key: str, n: str | None = None, b
 
     At most ``held`` rows of a table are broadcast.  Beyond that it is a shuffle join, in which only the rows of a hot key are
     many.  Where ``n``, a column of the table that counts them, says that they are more than ``hot``, they are spread by a
-    hash of ``by`` over 64 salts, each of which gets the table's row; such keys are at most a ``hot``-th of the rows, so they are broadcast."""
+    hash of ``by`` over so many salts that about ``hot`` have each; every salt gets the table's row.  Such keys are at most a ``hot``-th of the
+    rows, so they are broadcast."""
     if table.count() <= held:
         return rows.join(F.broadcast(table), key, how)
     if n is None:
         return rows.join(table, key, how)
-    warm, salt = fresh(rows, "warm", "salt")
-    known = table.filter(F.col(n) > hot).select(key, F.lit(True).alias(warm)).distinct()
-    salted = rows.join(F.broadcast(known), key, "left").withColumn(salt, F.when(F.col(warm), F.pmod(F.xxhash64(by), F.lit(64))).otherwise(0)).drop(warm)
-    spread = table.withColumn(salt, F.explode(F.when(F.col(n) > hot, F.sequence(F.lit(0), F.lit(63)).cast("array<long>")).otherwise(F.array(F.lit(0).cast("long")))))
+    salts, salt = fresh(rows, "salts", "salt")
+    many = F.when(F.col(n) > hot, F.ceil(F.col(n) / hot)).otherwise(1)
+    known = table.filter(F.col(n) > hot).groupBy(key).agg(F.max(many).alias(salts))
+    salted = rows.join(F.broadcast(known), key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(by), F.col(salts)), F.lit(0).cast("long"))).drop(salts)
+    spread = table.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
     return salted.join(spread, [key, salt], how).drop(salt)
 
 

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.session import cut
-from .common import U, Words, fresh, inside, shuffle_partitions, text_slices, windows
+from .common import HELD, U, Words, bitmap, bits_for, fresh, in_bitmap, inside, look_up, shuffle_partitions, text_slices, windows
 
 SHINGLE, K, THRESHOLD, ESTIMATE = 3, 64, 0.5, 0.3
-AGREE = 12  # values that texts of a large block must share before they are linked
+LARGEST = 2_000  # texts whose sets may meet in one task
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,15 +125,97 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).filter(F.length("text") > 0)
 
 
-def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: float = THRESHOLD, estimate: float = ESTIMATE, held: int = 2_000_000, largest: int = 50_000) -> DataFrame:
+def _rarest(sets: DataFrame, share: float) -> DataFrame:
+    """``t, v``: of the values ``v`` of each text those that other texts have too, without those that it can spare: two texts that have at
+    least ``share`` of the larger's values in common have one of what is left in common.
+
+    How many texts have a value is aggregated before the shuffle; a bitmap of bounded size keeps most of the values that only one
+    has from meeting these counts, and the rows of a hot value are spread over tasks."""
+    spark = sets.sparkSession
+    count = cut(sets.select(F.explode("v").alias("v")).groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"))
+    log2 = bits_for(count.count())
+    bits = spark.sparkContext.broadcast(bitmap(count.select(F.shiftleft("v", 1).alias("v")), "v", log2))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            v = b.column(1).flatten()
+            at = pa.array(np.flatnonzero(in_bitmap(bits.value, v.to_numpy().view(U) << U(1), log2)))
+            of = pa.array(np.repeat(np.arange(len(size)), size)).take(at)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), pa.array(size).take(of), v.take(at)], names=["t", "n", "v"])
+
+    each = sets.select("t", "v").mapInArrow(shared, "t long, n long, v long")
+    by_text = Window.partitionBy("t")
+    need = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9))
+    ranked = look_up(each, count, "v", "df", "t", held=0).withColumns({"c": F.count("*").over(by_text), "r": F.row_number().over(by_text.orderBy("df", "v"))})
+    return ranked.filter(F.col("r") <= F.col("c") - need + 1).select("t", "v")
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """``a, b``: each text and the least text that has one of its values; no pairs are formed within a value."""
+    least = lists.groupBy("v").agg(F.min("t").alias("m"), F.count("*").alias("c")).filter("c > 1")
+    return look_up(lists, cut(least), "v", "c", "t", held=0).filter("t <> m").select(F.col("t").alias("a"), F.col("m").alias("b"))
+
+
+def _divided(sets: DataFrame, threshold: float) -> DataFrame:
+    """``t, block`` for texts in large blocks: what their exact sets connect.  Two sets with a similarity of at least the threshold
+    have that share of the larger in common, so the rarest elements of each that it can't spare do for them what those of sketches do for
+    texts in general, but without their error, and passages that take up less of a text connect nothing."""
+    found = components(_stars(_rarest(sets.select("t", F.col("s").alias("v")), threshold)))
+    return found.select(F.col("node").alias("t"), F.col("root").alias("block"))
+
+
+def _verified(sets: DataFrame, lists: DataFrame, first: DataFrame, k: int, threshold: float, estimate: float, rounds: int = 4) -> DataFrame:
+    """``t, root`` of texts ``block, t, s`` in blocks too large for a task.
+
+    In each round the largest part of a block so far is represented by one of its texts, drawn anew, and all texts of other parts are
+    verified with it: of a great number of near copies most become one part.  Then the pairs are verified that have a sketch value in common and aren't in one part
+    yet.  Their number is the product of the sizes of the parts that share a value: small, unless a value is shared by many texts that aren't
+    near."""
+    sketch = first.select("t", F.col("v").alias("z"))
+    whole = cut(sets.join(sketch, "t").select("block", "t", "s", F.array_sort("z").alias("z")))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those pairs ``a, b`` that the union sketch and the exact sets confirm."""
+        one = pairs.join(whole.select(F.col("t").alias("a"), F.col("s").alias("s1"), F.col("z").alias("z1")), "a")
+        often = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        other = cut(whole.select(F.col("t").alias("b"), F.col("s").alias("s2"), F.col("z").alias("z2")).join(often, "b"))
+        two = look_up(one, other, "b", "n", "a", held=0, hot=20_000)  # rows are whole sets here
+        union = F.slice(F.array_sort(F.array_union("z1", "z2")), 1, k)
+        both = F.filter(F.array_intersect("z1", "z2"), lambda x: x <= F.element_at(union, -1))
+        same = F.size(F.array_intersect("s1", "s2"))
+        close = two.filter(F.size(both) >= estimate * F.size(union))
+        return close.filter(same >= threshold * (F.size("s1") + F.size("s2") - same)).select("a", "b")
+
+    parts = whole.select("block", "t", F.col("t").alias("root"))
+    links = None
+    for n in range(rounds):
+        # the largest part of a block is represented by one of its texts, which all others meet
+        sizes = parts.groupBy("block", "root").agg(F.count("*").alias("m"), F.min_by("t", F.xxhash64("t", F.lit(n))).alias("rep"))
+        hub = sizes.groupBy("block").agg(F.max_by(F.struct("root", "rep"), F.struct("m", F.xxhash64("root", F.lit(n)))).alias("hub"), F.sum("m").alias("n"))
+        away = cut(look_up(parts, cut(hub), "block", "n", "t").filter("root <> hub.root").select(F.col("t").alias("a"), F.col("hub.rep").alias("b")))
+        if away.isEmpty():
+            break
+        new = near(away)
+        links = cut(new if links is None else links.union(new))
+        parts = cut(whole.select("block", "t").join(components(links), F.col("t") == F.col("node"), "left").select("block", "t", F.coalesce("root", "t").alias("root")))
+    listed = lists.join(parts, "t")
+    several = listed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("v")
+    listed = cut(listed.join(several, "v", "left_semi"))
+    other = listed.select("v", F.col("t").alias("b"), F.col("root").alias("other"))
+    pairs = listed.select("v", F.col("t").alias("a"), "root").join(other, "v").filter("a < b and root <> other").select("a", "b").distinct()
+    return cut(components(links.union(near(pairs)))).select(F.col("node").alias("t"), "root")
+
+
+def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: float = THRESHOLD, estimate: float = ESTIMATE, held: int = HELD, largest: int = LARGEST) -> DataFrame:
     """``t, root``: the hash of a text and its group, for texts that are in a group with another text.
 
     Texts that are equal count once.  A text's sketch values in order of how many texts retain them, rarest first: two sketches
-    with an estimate of at least e share at least e of the larger, so they share one among the first (1 - e) n + 1, and AGREE
-    (or all that they need to share, if that is less) among the first (1 - e) n + AGREE.  The former are linked; what is
-    so connected forms a block, and the sets of a block meet in one task.  Blocks of more than ``largest`` texts, which weak links chain
-    together, are first divided by links of the latter kind; what is larger even then is verified pair by pair in a join.  Where at most ``held`` texts are in blocks, their hashes are
-    broadcast, else joined."""
+    with an estimate of at least e share at least e of the larger, so they share one among the first (1 - e) n + 1.  These
+    are linked; what is so connected forms a block, and the sets of a block meet in one task.  Blocks of more than
+    ``largest`` texts, which weak links chain together, are first divided by their exact sets in the same way (``_divided``); what is
+    larger even then, a great number of near copies of each other, is verified by joins (``_verified``).  Where at most ``held`` texts are in
+    blocks, their hashes are broadcast, else joined."""
     spark = docs.sparkSession
     rows = _texts(docs)
 
@@ -142,59 +224,52 @@ def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: fl
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(bottom(*shingles(texts, width), len(texts), k))], names=["t", "v"])
 
     first = cut(rows.select("t", "text").mapInArrow(sketch, "t long, v array<long>").filter(F.size("v") > 0).dropDuplicates(["t"]))
-    each = first.select("t", F.size("v").alias("n"), F.explode("v").alias("v"))
-    shared = each.withColumn("df", F.count("*").over(Window.partitionBy("v"))).filter("df > 1")
-    by_text = Window.partitionBy("t")
-    need = F.ceil(F.col("n") * F.lit(estimate) - F.lit(1e-9))
-    lists = shared.withColumns({"c": F.count("*").over(by_text), "r": F.row_number().over(by_text.orderBy("df", "v"))}).withColumns({"need": need, "over": F.col("r") - F.col("c") + need})
-    wide = cut(lists.filter(F.col("over") <= AGREE).select("t", "v", "need", "over"))
-    lists = wide.filter("over <= 1").select("t", "v")
-    links = lists.join(lists.groupBy("v").agg(F.min("t").alias("m"), F.count("*").alias("c")).filter("c > 1").drop("c"), "v").filter("t <> m").select(F.col("t").alias("a"), F.col("m").alias("b"))
-    blocks = cut(components(links).select(F.col("node").alias("t"), F.col("root").alias("block")))
-    large = blocks.groupBy("block").count().filter(F.col("count") > largest).select("block")
-    if not large.isEmpty():
-        inside = wide.join(blocks.join(F.broadcast(large), "block"), "t").select("block", "t", "v", "need")
-        other = inside.select("block", F.col("t").alias("o"), "v", F.col("need").alias("also"))
-        agree = inside.join(other, ["block", "v"]).filter("t < o").groupBy("t", "o").agg(F.count("*").alias("c"), F.max(F.greatest("need", "also")).alias("need"))
-        finer = components(agree.filter(F.col("c") >= F.least(F.lit(AGREE), F.col("need"))).select(F.col("t").alias("a"), F.col("o").alias("b")))
-        blocks = cut(blocks.join(F.broadcast(large), "block", "left_anti").select("t", "block").union(finer.select("node", "root")))
-        large = blocks.groupBy("block").count().filter(F.col("count") > largest).select("block")
-    n = blocks.count()
-    if n == 0:
-        return spark.createDataFrame([], "t long, root long")
-    once = rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
-    chosen = blocks.join(once, "t").select("t", "block", "doc_id")
-    some_large = not large.isEmpty()
-
-    def sets_of(keep: np.ndarray, texts: pa.Array) -> list[np.ndarray]:
-        of, h = shingles(texts, width)
-        return shingle_sets(of, h, len(texts))
-
-    if n <= held:
+    lists = cut(_rarest(first, estimate))
+    blocks = cut(components(_stars(lists)).select(F.col("node").alias("t"), F.col("root").alias("block")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in text_slices(batches, "text"):
+            of, h = shingles(texts, width)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(shingle_sets(of, h, len(texts)))], names=["block", "t", "s"])
+
+    def members(of: DataFrame) -> DataFrame:
+        """``block, t, s``: the set of each text of some blocks, from one of its documents."""
+        once = rows.groupBy("t").agg(F.min("doc_id").alias("doc_id"))
+        chosen = cut(of.join(once, "t").select("t", "block", "doc_id"))
+        n = chosen.count()
+        if n == 0:
+            return spark.createDataFrame([], "block long, t long, s array<long>")
+        if n > held:  # the key is a document, so a text that many have isn't hot
+            same = chosen.select(F.col("t").alias("u"), "block", F.col("doc_id").alias("d"))
+            return rows.join(same, (F.col("t") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("block", "t", "text").mapInArrow(sets, "block long, t long, s array<long>")
         table = chosen.toArrow()
         t = table.column("t").to_numpy()
         order = np.argsort(t)
-        ids = table.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()
-        sent = spark.sparkContext.broadcast((t[order], table.column("block").to_numpy()[order], ids[order]))
+        none = np.iinfo(np.int64).min
+        sent = spark.sparkContext.broadcast((t[order], table.column("block").to_numpy()[order], table.column("doc_id").fill_null(none).to_numpy()[order]))
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, block, doc = sent.value
             for batch in batches:
                 mine = batch.column(1).to_numpy()
                 at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                ok = (known[at] == mine) & (doc[at] == batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy())
-                part = pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(block[at])], names=["t", "text", "block"]).filter(pa.array(ok))
-                for b, texts in text_slices(iter([part]), "text"):
-                    yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), _lists(sets_of(None, texts))], names=["block", "t", "s"])
+                ok = (known[at] == mine) & (doc[at] == batch.column(0).fill_null(none).to_numpy())
+                yield from sets(iter([pa.RecordBatch.from_arrays([pa.array(block[at]), batch.column(1), batch.column(2)], names=["block", "t", "text"]).filter(pa.array(ok))]))
 
-        members = rows.mapInArrow(sets, "block long, t long, s array<long>")
-    else:
+        return rows.mapInArrow(placed, "block long, t long, s array<long>")
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b, texts in text_slices(batches, "text"):
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(sets_of(None, texts))], names=["block", "t", "s"])
-
-        members = rows.join(chosen, (rows["t"] == chosen["t"]) & rows["doc_id"].eqNullSafe(chosen["doc_id"])).select("block", rows["t"], "text").mapInArrow(sets, "block long, t long, s array<long>")
+    over = lambda b: cut(b.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > largest))
+    within = lambda b, some, how: look_up(b, some, "block", "n", "t", how, held).drop("n")
+    large, verified = over(blocks), None
+    if not large.isEmpty():
+        inside = cut(members(within(blocks, large, "inner")).dropDuplicates(["t"]))
+        finer = cut(_divided(inside, threshold))
+        blocks = cut(within(blocks, large, "left_anti").select("t", "block").union(finer.select("t", "block")))
+        hard = over(finer)
+        if not hard.isEmpty():
+            apart = cut(within(inside.drop("block").join(finer, "t"), hard, "inner").select("block", "t", "s"))
+            verified = _verified(apart, lists.join(apart.select("t"), "t", "left_semi"), first, k, threshold, estimate)
+            blocks = within(blocks, hard, "left_anti")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, held_ = None, [], []
@@ -217,20 +292,8 @@ def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: fl
         if len(ids) > 1:
             yield done()
 
-    parts = shuffle_partitions(spark)
-    if not some_large:
-        together = members.repartition(parts, "block").sortWithinPartitions("block", "t").mapInArrow(grouped, "t long, root long")
-    else:
-        members = cut(members.dropDuplicates(["t"]))
-        together = members.join(large, "block", "left_anti").repartition(parts, "block").sortWithinPartitions("block", "t").mapInArrow(grouped, "t long, root long")
-        left = lists.join(blocks.join(large, "block"), "t").select("t", "v")
-        pairs = left.join(left.select(F.col("t").alias("o"), "v"), "v").filter("t < o").select("t", "o").distinct()
-        s = members.join(large, "block").select("t", "s")
-        met = pairs.join(s, "t").join(s.select(F.col("t").alias("o"), F.col("s").alias("z")), "o")
-        same = F.size(F.array_intersect("s", "z"))
-        sure = met.filter(same >= threshold * (F.size("s") + F.size("z") - same)).select(F.col("t").alias("a"), F.col("o").alias("b"))
-        together = together.union(components(sure).select(F.col("node").alias("t"), "root"))
-    out = cut(together)
+    together = members(blocks).repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "t").mapInArrow(grouped, "t long, root long")
+    out = cut(together if verified is None else together.union(verified))
     several = out.groupBy("root").count().filter("count > 1").select("root")
     return out.join(several, "root").select("t", "root")
 
@@ -240,23 +303,23 @@ def duplicate_rows(docs: DataFrame, **options) -> DataFrame:
     groups = text_groups(docs, **options)
     word = "[0-9A-Za-z\\x{C0}-\\x{1FFF}\\x{2080}-\\x{2FFF}\\x{3040}-\\x{10FFFF}]"
     ids = _texts(docs).filter(F.col("text").rlike(word)).select("doc_id", "t")
-    placed = ids.join(groups, "t", "left").withColumn("root", F.coalesce("root", "t"))
-    kept = placed.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return placed.join(kept, "root").select("doc_id", "t", "root", "keep_id")
+    placed = cut(look_up(ids, cut(groups), "t", how="left", held=options.get("held", HELD)).withColumn("root", F.coalesce("root", "t")))
+    kept = cut(placed.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1"))
+    return look_up(placed, kept, "root", "n", "doc_id", held=options.get("held", HELD)).select("doc_id", "t", "root", "keep_id")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, kept_doc_id``: each document that falls to another of its group, and the one that stays, the least id.
 
     Documents whose sets of ``width``-word shingles have a Jaccard similarity of at least ``threshold`` are near; groups are what
-    such pairs connect.  A text of fewer words is one shingle; a text without words, empty or null, is nobody's duplicate.  Two
-    texts count as near only if their sketches (the ``k`` least hashes) estimate at least ``estimate`` as well, which pairs at
-    the threshold miss about once in a thousand.  Rows that repeat a doc_id count once; a null id falls to any other.  Other
-    columns are ignored."""
+    such pairs connect.  A text of fewer words is one shingle; a text without words, empty or null, is nobody's duplicate, and an
+    empty table has none; a text of any length is compared as a whole.  Two texts count as near only if their sketches (the ``k`` least
+    hashes) estimate at least ``estimate`` as well, which pairs at the threshold miss about once in a thousand.  Rows that repeat a doc_id
+    count once; a null id falls to any other.  Other columns are ignored, whatever their names."""
     return duplicate_rows(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", F.col("keep_id").alias("kept_doc_id")).distinct()
 
 
-def without_near_duplicates(docs: DataFrame, held: int = 2_000_000, **options) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, held: int = HELD, **options) -> DataFrame:
     """The rows of ``docs`` less all but one of each group; all columns stay.  The one has the group's least doc_id (the least text
     hash among repeated ids); of rows that are the same in both, one stays."""
     h, t, root, keep_t, keep_id = fresh(docs, "h", "t", "root", "keep_t", "keep_id")
