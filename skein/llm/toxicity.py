@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import cut
 from .common import U, Words, inside, mix, text_slices
 
 BITS = 32
-BIAS, THRESHOLD = -1, -2
+BIAS, THRESHOLD, SCORED = -1, -2, -3
+FOLDS = 5
 
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -74,15 +76,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     """Non-zero weights: ``feature, weight``, with the bias as feature -1 and the threshold as -2.
 
     It is fitted on at most ``rows`` labelled documents, the first in order of the hash of doc_id.  Five more fits, each
-    without a fifth of them, score those to choose the threshold.  Features of fewer than ``min_docs`` of them are not used.  Labels other than 0 and 1, and
-    null ids, don't count; of several labels of a document the largest does.  Without usable rows there are no weights, and
-    every score is 0."""
+    without a fifth of them, score those to choose the threshold; each fit is a task of its own.  Features of fewer than ``min_docs`` of them
+    are not used.  Labels other than 0 and 1, and null ids, don't count; of several labels of a document the largest does.  Rows with a null text aren't used;
+    texts may be of any length.  Without usable rows there are no weights, and every score is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = [], []
+        x, y, own = [], [], -1
         for batch, texts in text_slices(batches, "text"):
             x += distinct_features(texts)
             y.append(batch.column(1).to_numpy().astype(float))
+            own = batch.column(0)[0].as_py()
         if not x:
             return
         labels_ = np.concatenate(y)
@@ -94,30 +97,59 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             return at[used[np.minimum(at, len(used) - 1)] == f] if len(used) else at[:0]
 
         ix = [index(f) for f in x]
-        fit = lambda which: ftrl([ix[i] for i in which], labels_[which], len(used), alpha, beta, l1, l2, epochs)
-        fold = np.arange(len(ix)) % 5
-        p = np.zeros(len(ix))
-        for k in range(5):
-            w, b = fit(np.flatnonzero(fold != k))
-            for i in np.flatnonzero(fold == k):
-                p[i] = 1 / (1 + np.exp(-np.clip(w[ix[i]].sum() + b, -35, 35)))
-        threshold = best_threshold(p, labels_)
-        w, b = fit(np.arange(len(ix)))
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((used[at].astype(np.int64), [BIAS, THRESHOLD]))), pa.array(np.concatenate((w[at], [b, threshold])))], names=["feature", "weight"])
+        held = np.flatnonzero(np.arange(len(ix)) % FOLDS == own)  # none of them if own is FOLDS
+        learnt = np.setdiff1d(np.arange(len(ix)), held)
+        w, b = ftrl([ix[i] for i in learnt], labels_[learnt], len(used), alpha, beta, l1, l2, epochs)
+        if own < FOLDS:
+            p = np.array([1 / (1 + np.exp(-np.clip(w[ix[i]].sum() + b, -35, 35))) for i in held])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), SCORED)), pa.array(p, pa.float64()), pa.array(labels_[held])], names=["feature", "weight", "y"])
+        else:
+            at = np.flatnonzero(w)
+            features_ = np.concatenate((used[at].astype(np.int64), [BIAS]))
+            yield pa.RecordBatch.from_arrays([pa.array(features_), pa.array(np.concatenate((w[at], [b]))), pa.nulls(len(features_), pa.float64())], names=["feature", "weight", "y"])
 
     order = F.xxhash64("doc_id")
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(order, "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    return texts.repartition(1).sortWithinPartitions(order, "doc_id", "text").select("doc_id", "y", "text").mapInArrow(run, "feature long, weight double")
+    each = texts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).repartitionByRange(FOLDS + 1, "fold")
+    out = cut(each.sortWithinPartitions("fold", order, "doc_id", "text").select("fold", "y", "text").mapInArrow(_by_fold(run), "feature long, weight double, y double"))
+    scored = out.filter(F.col("feature") == SCORED).select("weight", "y").toArrow()  # a row for each of the sample's
+    weights = out.filter(F.col("feature") >= BIAS).select("feature", "weight")
+    if not scored.num_rows:
+        return weights
+    threshold = best_threshold(scored.column("weight").to_numpy(), scored.column("y").to_numpy())
+    return weights.union(docs.sparkSession.createDataFrame([(THRESHOLD, threshold)], "feature long, weight double"))
+
+
+def _by_fold(run: Callable) -> Callable:
+    """``run`` for each run of batches of one fold: ranges may put several folds, in order, in one task."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            folds = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(folds)) + 1).tolist(), len(folds)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if now is not None and folds[a] != now:
+                    yield from run(iter(held))
+                    held = []
+                now = folds[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from run(iter(held))
+
+    return each
 
 
 def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``doc_id, score, toxic`` of each row of documents: the probability, and whether it is above the threshold.
+    """``doc_id, score, toxic`` of each row of documents: the probability, and whether it is at least the threshold.
 
-    Empty and null texts, and all texts if there are no weights, score 0 and aren't toxic.  A null doc_id stays null; repeated
-    rows give repeated rows; other columns are ignored."""
+    Texts without words, also empty and null ones, and all texts if there are no weights, score 0 and aren't toxic.  Texts of any length are
+    scored as a whole.  A null doc_id stays null; repeated rows give repeated rows, an empty table none; other columns are
+    ignored, whatever their names."""
     table = {int(r[0]): float(r[1]) for r in weights.collect()}  # L1 leaves few
     bias, threshold = table.pop(BIAS, None), table.pop(THRESHOLD, 0.5)
     keys = np.array(sorted(table), np.uint32)
@@ -140,11 +172,11 @@ def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
                 np.add.at(total, pair // len(keys), w[pair % len(keys)])
             p = np.zeros(len(texts)) if bias is None else 1 / (1 + np.exp(-np.clip(total + bias, -35, 35)))
             p[np.diff(words.row) == 0] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= threshold)], names=["doc_id", "score", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold) & (p > 0))], names=["doc_id", "score", "toxic"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, toxic boolean")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that a model trained on the labels finds toxic: ``doc_id, score, toxic``, toxic always true."""
+    """The documents that a model trained on the labels finds toxic: ``doc_id, score, toxic``, toxic always true.  Rows as in ``score``."""
     return score(docs, train(docs, labels, **options)).filter("toxic")

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from skein.llm.common import look_up
 from skein.llm.debruijn import repeated_spans
 from skein.llm.decontaminate import leaks
 from skein.llm.fingerprints import imatch
@@ -83,6 +84,32 @@ def test_near_duplicates(spark, corpus, options):
     assert not {r[0] for r in got} - {r[0] for r in want}
 
 
+@pytest.mark.parametrize("options", [{}, {"held": 0}, {"largest": 0}, {"largest": 6, "held": 0}])
+def test_near_duplicates_are_exact_with_whole_sets(spark, corpus, options):
+    """Sketches that hold all of a set estimate without error, so every way through the operator finds what brute force does."""
+    docs = table(spark, corpus).selectExpr("*", "1 as t", "2 as root", "3 as block", "4 as v")
+    assert {tuple(r) for r in near_duplicates(docs, k=4096, **options).collect()} == brute_near(corpus)
+
+
+def test_a_large_group_of_near_copies(spark):
+    """One that no task may hold is verified in rounds, and whoever differs from most of it isn't lost."""
+    rng = np.random.default_rng(11)
+    base, other = prose(rng, 60), prose(rng, 60)
+    half = " ".join(base.split()[:36] + other.split()[36:])
+    rows = list(enumerate([edited(rng, base, 0.03) for _ in range(120)] + [edited(rng, half, 0.02) for _ in range(20)] + [edited(rng, other, 0.03) for _ in range(30)]))
+    assert {tuple(r) for r in near_duplicates(table(spark, rows), k=4096, largest=10).collect()} == brute_near(rows)
+
+
+def test_look_up_spreads_hot_keys(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(500)] + [(i, i) for i in range(20)] + [(None, 1)], "k long, x long")
+    table_ = spark.createDataFrame([(7, 501, "a"), (3, 1, "b"), (99, 0, "c")], "k long, n long, z string")
+    for how in ("inner", "left", "left_anti"):
+        want = Counter(map(tuple, rows.join(table_, "k", how).collect()))
+        for options in ({}, {"held": 0}, {"held": 0, "hot": 10}):
+            got = look_up(rows, table_, "k", "n", "x", how, **options)
+            assert Counter(map(tuple, got.collect())) == want and got.columns == rows.join(table_, "k", how).columns
+
+
 def test_one_of_each_group_stays(spark, corpus):
     docs = table(spark, corpus).selectExpr("*", "1 as t", "2 as root", "3 as h", "4 as keep_t")
     kept = without_near_duplicates(docs)
