@@ -151,7 +151,8 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, with_text: bool =
     """``doc_id, n_tokens, token_ids, exact`` of each row, and with ``with_text`` the decoded ``text``.
 
     ``exact`` says whether decoding gave the text back.  An empty or null text has no tokens (and decodes to '' or null).
-    Special tokens' strings are ordinary text.  Ids may be null or repeated; other columns are ignored.  ``vocabulary`` is read
+    Special tokens' strings are ordinary text, texts of any length are encoded as a whole, an empty table gives no rows.  Ids may be null or
+    repeated; other columns are ignored, whatever their names.  ``vocabulary`` is read
     by the driver and broadcast: its size doesn't depend on the data."""
     raw = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 

@@ -45,7 +45,8 @@ def format_chats(turns: DataFrame, begin: str = BEGIN, after_role: str = AFTER_R
     """One row a conversation: ``conv_id, n_turns, text``, its turns in order of (turn, role, text), nulls first.
 
     Each turn is begin + role + after_role + text + end, verbatim.  A null role reads 'unknown', a null text ''.  Repeated rows
-    are repeated turns.  Rows with a null conv_id are left out; other columns are ignored."""
+    are repeated turns.  Rows with a null conv_id are left out; an empty table gives no rows; texts may be of any length; other columns are
+    ignored, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -124,7 +124,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int =
     ``matched`` is the most on one alignment, ``first_token`` the first place in the document, ``slots`` the largest number of
     different slot values in the windows that count on one.  An item shorter than ``width`` is one window of its own length; windows with fewer
     than ``literals`` ordinary words (or their length, if less) match only word for word.  Rows whose id or text is null are left out; empty
-    texts match nothing; repeated rows count once; other columns are ignored.
+    texts match nothing, and if either table is empty nothing is reported; repeated rows count once; texts of any length are searched as a
+    whole; other columns are ignored, whatever their names.
 
     The benchmark's windows set a bitmap of bounded size, which lets few windows of documents through to the join; whatever the
     benchmark's size, the join alone decides."""

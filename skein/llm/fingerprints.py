@@ -80,7 +80,8 @@ def imatch(docs: DataFrame, low: float = 0.15, high: float = 0.8, broadcast_term
     The lexicon holds the terms with low <= idf <= high, where idf = ln(N / df) / ln(N) and N counts the documents with text.
     A fingerprint is the MD5 of the document's distinct lexicon terms in order; two documents match in a subset if theirs are
     equal.  It is null if no term remains (short, empty and null texts).  Repeated rows give repeated results and count
-    separately in df; a null doc_id stays null; other columns are ignored.
+    separately in df; a null doc_id stays null; an empty table gives no rows; texts of any length count as a whole; other
+    columns are ignored, whatever their names.
 
     The lexicon goes to the executors as sorted hashes if it has at most ``broadcast_terms``; else it is joined by a shuffle."""
     spark = docs.sparkSession

@@ -228,8 +228,8 @@ def extract(pages: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     """``page_id, n_nodes, n_content, text`` of each row: its nodes, its text nodes that are content with a probability of at
     least the threshold, and their text, blocks on lines of their own.
 
-    A null or empty page has no nodes and no text; so has every page if there was nothing to train on.  Ids may be null or
-    repeated; other columns are ignored."""
+    A null or empty page has no nodes and no text; so has every page if there was nothing to train on.  Pages of any
+    length are read as a whole; an empty table gives no rows.  Ids may be null or repeated; other columns are ignored, whatever their names."""
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

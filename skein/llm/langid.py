@@ -215,7 +215,8 @@ def language_spans(docs: DataFrame, model: Model, penalty: float = 20.0, most_un
 
     ``doc_lang`` is the language of most words with letters (the first in the model's order of equals).  A document is kept
     unless it has no such word or more than ``most_unknown`` of them are unknown ('und').  A text without words, also an empty or
-    null one, gives one span of 0 words in 'und', not kept.  Ids may be null or repeated; other columns are ignored."""
+    null one, gives one span of 0 words in 'und', not kept; an empty table gives no rows.  Texts of any length are labelled as a
+    whole.  Ids may be null or repeated; other columns are ignored, whatever their names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,31 +255,43 @@ def language_spans(docs: DataFrame, model: Model, penalty: float = 20.0, most_un
 
 
 def keep_identified(docs: DataFrame, model: Model, penalty: float = 20.0, most_unknown: float = 0.5) -> DataFrame:
-    """The rows that ``language_spans`` keeps, all columns as they are, without a shuffle: each batch is judged where it is."""
+    """The rows that ``language_spans`` keeps, without a shuffle: each batch is judged where it is.
+
+    A string column ``lang`` is set to the language of most of a text's words; all other columns stay, whatever their names.  Rows
+    whose text is null, empty or has no words with letters go, as do those of which most words are unknown; ids may be null or
+    repeated, texts of any length are judged as a whole, and an empty table stays one."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    named = [i for i, f in enumerate(docs.schema) if f.name == "lang" and f.dataType.typeName() == "string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        names = pa.array(m.labels)
         for batch in batches:
-            keep = []
+            keep, label = [np.zeros(0, bool)], [np.zeros(0, np.int64)]
             for _, texts in text_slices(iter([pa.RecordBatch.from_arrays([batch.column(at)], names=["text"])]), "text"):
-                keep.append(judge(m, texts, penalty, most_unknown))
-            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+                kept, found = judge(m, texts, penalty, most_unknown)
+                keep.append(kept)
+                label.append(found)
+            columns = list(batch.columns)
+            for i in named:
+                columns[i] = names.take(pa.array(np.concatenate(label))).cast(batch.column(i).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(np.concatenate(keep)))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def judge(m: Model, texts: pa.Array, penalty: float, most_unknown: float) -> np.ndarray:
-    """Which texts are kept."""
+def judge(m: Model, texts: pa.Array, penalty: float, most_unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts are kept, and the label of most of their words."""
     w = Words(texts)
     _, first, code = np.unique(w.hash, return_index=True, return_inverse=True)
     names = w.strings(first)
+    k = len(m.labels)
     if not names:
-        return np.zeros(len(texts), bool)
+        return np.zeros(len(texts), bool), np.full(len(texts), k - 1)
     scores, letters = m.scores(names)
     used = np.flatnonzero((scores > FORBIDDEN / 2).any(axis=0))
-    lettered = letters[code]
-    unknown = (used[label_words(scores[:, used][code], w.row, w.of, penalty)] == len(m.labels) - 1) & lettered
-    total = np.bincount(w.of[lettered], minlength=len(texts))
-    return (total > 0) & (np.bincount(w.of[unknown], minlength=len(texts)) <= most_unknown * total)
+    label = used[label_words(scores[:, used][code], w.row, w.of, penalty)]
+    n = np.bincount(w.of[letters[code]] * k + label[letters[code]], minlength=len(texts) * k).reshape(len(texts), k)
+    total = n.sum(axis=1)
+    return (total > 0) & (n[:, -1] <= most_unknown * total), np.where(total > 0, n.argmax(axis=1), k - 1)

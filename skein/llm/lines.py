@@ -247,8 +247,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, shortest
 def without_repeated_lines(docs: DataFrame, least: int = LEAST, edits: int = 1, shortest: int = 1) -> DataFrame:
     """``docs`` without the lines that ``repeated_lines`` names, and without the rows of which nothing but blanks is left then.
 
-    A column ``n_chars`` is set to the new length of a text that has changed; all other columns stay.  Rows without such lines stay
-    as they are, also null and empty ones."""
+    A column ``n_chars`` is set to the new length of a text that has changed; all other columns stay, whatever their names.  Rows without
+    such lines stay as they are, also null and empty ones; of repeated rows the lines fall, or stay, alike; an empty table stays one."""
     key, gone, t = fresh(docs, "key", "gone", "t")
     by_doc = _fallen(docs, least, edits, shortest).groupBy(F.col("doc").alias(key), F.col("t").alias(t)).agg(F.collect_set("line").alias(gone))
     text, lost = F.col("text").cast("string"), F.col(gone)

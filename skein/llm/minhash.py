@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, held: int = HELD, **options) -> DataFrame:
     """The rows of ``docs`` less all but one of each group; all columns stay.  The one has the group's least doc_id (the least text
-    hash among repeated ids); of rows that are the same in both, one stays."""
+    hash among repeated ids); of rows that are the same in both, one stays.  Rows without words, also null and empty ones, all stay; an
+    empty table stays one; added columns may have any name."""
     h, t, root, keep_t, keep_id = fresh(docs, "h", "t", "root", "keep_t", "keep_id")
     found = cut(duplicate_rows(docs, held=held, **options))
     one = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("root").agg(F.min("t").alias(keep_t), F.first("keep_id").alias(keep_id))

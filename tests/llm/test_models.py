@@ -1,6 +1,8 @@
 """Operators with models or kernels: brute force, exact round trips and held-out accuracy."""
 
 import base64
+import re
+from collections import Counter
 from itertools import product
 from pathlib import Path
 
@@ -9,11 +11,13 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skein.llm import html, langid, toxicity
 from skein.llm.bpe import VOCABULARY, Decoder, Encoder, load, merge, round_trip
 from skein.llm.chat import format_chats
 from skein.llm.common import Words
+from skein.llm.queries import op4_toxicity, op6_languages, op9_html
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -120,6 +124,69 @@ def test_mixed_text_has_spans(spark, languages):
     kept = langid.keep_identified(docs, languages)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r[0].kept}
+    assert all(r.lang == got[r.doc_id][0].doc_lang for r in kept.collect())
+
+
+def test_languages_of_the_query_by_brute_force(spark, tmp_path):
+    """The rows of op6_languages, from counts and scores made word by word and a plain Viterbi over all labels."""
+    rng = np.random.default_rng(12)
+    words = {"en": EN.split(), "de": DE.split()}
+    rows = []
+    for i in range(24):
+        parts = [" ".join(rng.choice(words[k], int(n))) for k, n in zip(rng.choice(["en", "de"], 3), rng.integers(1, 30, 3))]
+        rows.append((i, " ".join(parts[: 1 + i % 3]), "en" if i % 2 else "de", "s", 0))
+    rows += [(30, "Привет мир 12", "en", "s", 0), (31, "12 - 34", "de", "s", 0), (32, None, "de", "s", 0), (33, "", None, "s", 0), (None, EN, "en", "s", 0), (34, "word " * 4000 + DE, "de", "s", 0), (35, "日本語 hello", None, "s", 0), (3, "the wind", "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {}
+    plain = lambda t: re.findall("[0-9a-z\xc0-\u1fff\u2080-\u2fff\u3040-\U0010ffff]+", (t or "").lower())
+    script = lambda w: max(range(1, 15), key=lambda k: (sum(int(langid._SCRIPT[ord(c)]) == k for c in w), -k)) if any(langid._SCRIPT[ord(c)] for c in w) else 0
+    grams = lambda w: [f"^{w}$"[i : i + 3] for i in range(len(w))]
+    for i, t, lang, *_ in rows:
+        if i is not None and t is not None and lang is not None:
+            for w in plain(t):
+                if script(w):
+                    counts.setdefault(lang, Counter()).update(grams(w))
+    code = lambda g: (ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2])
+    m = langid.Model({k: {code(g): n for g, n in c.items() if n >= 2} for k, c in counts.items()})
+    kept = {k: {g: n for g, n in c.items() if n >= 2} for k, c in counts.items()}
+    every = {g for c in kept.values() for g in c}
+    want = []
+    for i, t, *_ in rows:
+        ws = plain(t)
+        s = []
+        for w in ws:
+            k = script(w)
+            row = np.full(len(m.labels), langid.FORBIDDEN)
+            for j, lang in enumerate(m.trained):
+                total = sum(kept[lang].values()) + 0.5 * (len(every) + 1)
+                if m.candidates[k][j]:
+                    row[j] = sum(np.log((kept[lang].get(g, 0) + 0.5) / total) for g in grams(w))
+            if k and not m.candidates[k].any():
+                row[[len(m.labels) - 1, *m.own][k]] = m.unknown * len(w) / 2
+            row[-1] = m.unknown * len(w)
+            s.append(np.zeros(len(m.labels)) if not k else row)
+        best, back = None, []
+        for row in s:
+            if best is None:
+                best = row
+            else:
+                come = [int(np.argmax([best[a] - 20.0 * (a != b) for a in range(len(row))])) for b in range(len(row))]
+                back.append(come)
+                best = np.array([best[a] - 20.0 * (a != b) + row[b] for b, a in enumerate(come)])
+        path = [int(np.argmax(best))] if s else []
+        for come in reversed(back):
+            path.append(come[path[-1]])
+        want.append((i, sum(s[n][k] for n, k in enumerate(path[::-1])) - 20.0 * sum(a != b for a, b in zip(path, path[1:])), s))
+    got = {}
+    for r in op6_languages(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, value, s in want:
+        if i == 3:
+            continue  # two rows have this id
+        labels = [m.labels.index(r.lang) for r in sorted(got[i], key=lambda r: r.span) for _ in range(r.n_words)]
+        assert len(labels) == len(s)
+        mine = sum(s[n][k] for n, k in enumerate(labels)) - 20.0 * sum(a != b for a, b in zip(labels, labels[1:]))
+        assert abs(mine - value) < 0.05, (i, mine, value)
 
 
 def test_without_training(spark):
@@ -170,6 +237,56 @@ def test_held_out_toxicity(spark):
     assert model.count() < 20_000
 
 
+def test_toxic_documents_of_the_query_by_brute_force(spark, tmp_path):
+    """The rows of op4_toxicity, from string features, fits in plain Python and a threshold searched by hand."""
+    rng = np.random.default_rng(13)
+    calm, rude = [f"calm{i}" for i in range(40)], [f"rude{i}" for i in range(12)]
+    rows, y = [], []
+    for i in range(90):
+        bad = i % 3 == 0
+        w = list(rng.choice(calm, int(rng.integers(3, 30))))
+        for _ in range(int(rng.integers(1, 4)) if bad else 0):
+            w.insert(int(rng.integers(len(w))), str(rng.choice(rude)))
+        rows.append((i, " ".join(w).title(), "en", "s", 0))
+        y.append((i, int(bad)))
+    rows += [(200, None, "en", "s", 0), (201, "", "en", "s", 0), (None, "rude1 rude2 rude3", "en", "s", 0), (202, "rude1 calm1 " * 5000, "en", "s", 0), (203, "rude1 rude2 rude5 rude1", "en", "s", 0), (203, "rude1 rude2 rude5 rude1", "en", "s", 0)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, t) for i, t in y], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def features(t):
+        w = (t or "").lower().split()
+        return {(0, x) for x in w} | {(g, a, b) for g in (1, 2, 3) for a, b in zip(w, w[g:])}
+
+    order = [r.doc_id for r in spark.read.parquet(f"{tmp_path}/labels.parquet").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    text, label = {r[0]: r[1] for r in rows}, dict(y)
+    x = [features(text[i]) for i in order]
+    t = np.array([label[i] for i in order], float)
+    often = {f for f, n in Counter(f for s in x for f in s).items() if n >= 5}
+    at = {f: k for k, f in enumerate(sorted(often, key=str))}
+    ix = [np.array(sorted(at[f] for f in s if f in at), int) for s in x]
+    fit = lambda which: toxicity.ftrl([ix[i] for i in which], t[which], len(at), 1.0, 1.0, 10.0, 1.0, 8)
+    sig = lambda v: 1 / (1 + np.exp(-np.clip(v, -35, 35)))
+    p = np.zeros(len(ix))
+    for k in range(5):
+        w, b = fit(np.array([i for i in range(len(ix)) if i % 5 != k]))
+        for i in range(k, len(ix), 5):
+            p[i] = sig(w[ix[i]].sum() + b)
+    ranked = sorted(set(p), reverse=True)
+    f1 = [2 * t[p >= c].sum() / ((p >= c).sum() + t.sum()) for c in ranked]
+    k = int(np.argmax(f1))
+    ends = np.clip(sorted(p, reverse=True)[int((p >= ranked[k]).sum()) - 1 :][:2], 1e-9, 1 - 1e-9)
+    threshold = sig(np.log(ends / (1 - ends)).mean())
+    w, b = fit(np.arange(len(ix)))
+    want = []
+    for i, s, *_ in rows:
+        score = sig(sum(w[at[f]] for f in features(s) if f in at) + b) if s else 0.0
+        if s and score >= threshold:
+            want.append((i, round(float(score), 9)))
+    got = [(r.doc_id, round(r.score, 9)) for r in op4_toxicity(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {i for i, _ in got} >= {203, None} and 0.6 < np.mean([(i in dict(got)) == bool(v) for i, v in y])
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = table(spark, [(1, "you are awful"), (2, None), (3, ""), (None, "fine"), (1, "you are awful")]).selectExpr("*", "1 as toxic", "2 as score")
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (3, 7)], "doc_id long, toxic int")
@@ -229,6 +346,45 @@ def test_held_out_pages(spark):
     assert np.mean([set(same[i].split()) >= set(t.show(t.content).split()) for i, t in gold.items()]) > 0.9
 
 
+def test_content_of_the_query_by_brute_force(spark, tmp_path):
+    """The rows of op9_html, from counts made node by node and marginals by enumeration."""
+    rng = np.random.default_rng(14)
+    words = ["plain", "words, with marks.", "more of it; here", "menu", "home", "next page"]
+    pick = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, f"<body><nav><a href=x>{pick(1)}</a></nav><{'article' if i % 4 else 'div'}><p class=t>{pick(6)}</p></{'article' if i % 4 else 'div'}><p>{pick(1)}</p></body>") for i in range(16)]
+    rows += [(50, None), (51, ""), (None, "<p>only text, here."), (3, "<div>twice</div>")]
+    spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    counts = Counter()
+    shown = {}
+    trees = {n: html.Tree(h or "") for n, (_, h) in enumerate(rows)}
+    for n, t in trees.items():
+        if rows[n][0] is not None and any(t.content):
+            f = html.Forest([t])
+            for k in range(len(t.tag)):
+                for c in f.columns:
+                    counts[c[k], int(t.content[k])] += 1
+                if k:
+                    counts[f"pair:{f.tags[k]}", 2 * int(t.content[t.parent[k]]) + int(t.content[k])] += 1
+    m = html.Model([(k, y, n) for (k, y), n in counts.items() if n >= 3])
+    want = []
+    for n, t in trees.items():
+        f = html.Forest([t])
+        total = np.zeros((len(t.tag), 2))
+        for y in product((0, 1), repeat=len(t.tag)):
+            s = -20.0 * y[0]
+            for i in range(len(t.tag)):
+                s += sum(m.features.get(c[i], m.unseen)[y[i]] for c in f.columns) / 2
+                if i:
+                    s += m.pairs.get(f.tags[i], m.shared)[y[t.parent[i]], y[i]]
+            for i in range(len(t.tag)):
+                total[i, y[i]] += np.exp(s)
+        keep = [bool(a[1] / a.sum() >= 0.5) and bool(x) for a, x in zip(total, t.text)]
+        want.append((rows[n][0], len(t.tag) - 1, sum(keep), t.show(keep)))
+    got = [tuple(r) for r in op9_html(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(r[2] for r in got) >= 16
+
+
 def test_odd_pages(spark):
     rows = [(1, None), (2, ""), (None, "<p>x"), (3, "<article><p>Long enough words, here.</article>"), (3, "<article><p>Long enough words, here.</article>"), (4, "<p>" + "word, " * 50_000)]
     pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "1 as text", "2 as n_nodes")

@@ -8,9 +8,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skein.llm.bpe import VOCABULARY
+from skein.plans.session import cut
 
 from .test_search import SCHEMA, brute_groups, brute_lines, edited, prose
 
@@ -85,6 +87,25 @@ def _kept(rows, i, n, s):
     return not own or not any(place((j, m)) < place((i, n)) and near(z.strip(" \t\r")) for j, t in rows for m, z in enumerate(t.split("\n")))
 
 
+def test_languages_are_written(spark, made):
+    d, rows = made
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("lang", F.lit("xx"))
+    by_id = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs.filter("doc_id is not null"), d).collect()}
+    russian = next(i for i, t in rows if t and t.startswith("привет"))
+    assert by_id.pop(russian) == "ru" and set(by_id.values()) == {"xx"}
+
+
+def test_columns_of_any_name_stay(spark, made):
+    d, _ = made
+    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", "1 as h", "'a' as t", "2 as root", "3 as key", "4 as gone", "5 as keep_id", "6 as block", "7 as salt", "8 as `odd name`")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, d))
+        assert docs.columns == columns
+    assert {tuple(r) for r in docs.select(*columns[5:]).distinct().toLocalIterator()} == {(1, "a", 2, 3, 4, 5, 6, 7, 8)}
+    assert corpus_pipeline.tokens(spark, docs, d).count() == docs.count() > 40
+
+
 def test_empty_tables(spark, made):
     d, _ = made
     docs = spark.createDataFrame([], SCHEMA)

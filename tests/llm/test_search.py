@@ -1,6 +1,7 @@
 """Operators that look for repeats, against brute force on small tables."""
 
 from collections import Counter
+from hashlib import md5
 from itertools import combinations
 
 import numpy as np
@@ -141,7 +142,8 @@ def brute_spans(rows, k):
 @pytest.mark.parametrize("held", [2_000_000, 0])
 def test_repeated_spans(spark, corpus, held):
     for k in (8, 20):
-        got = repeated_spans(table(spark, corpus), least=k, held=held).collect()
+        docs = table(spark, corpus).selectExpr("*", "1 as t", "2 as pos", "3 as node", "4 as w")
+        got = repeated_spans(docs, least=k, held=held).collect()
         assert Counter((r.doc_id, r.first_word, r.n_words, r.copies) for r in got) == brute_spans(corpus, k)
         assert all(1 <= r.n_paths <= r.n_words for r in got)
 
@@ -302,6 +304,49 @@ def test_imatch(spark, corpus):
     assert by_id[0] is not None and by_id[60 + 80] == by_id[0]
 
 
+def test_long_texts_and_clashing_names(spark):
+    """One text of some megabytes, repeated rows, and columns named like those that the operators make."""
+    rng = np.random.default_rng(15)
+    item = "Anna walks 12 km to the market and buys 5 red apples for her mother every week."
+    passage = prose(rng, 70)
+    long = " ".join(rng.choice(WORDS, 400_000)) + f" {passage} The end. {item} " + " ".join(rng.choice(WORDS, 1000))
+    rows = [(1, long), (2, f"{prose(rng, 40)} {passage} {prose(rng, 9)}"), (3, item.replace("12", "70")), (3, item.replace("12", "70")), (4, None), (None, long)]
+    docs = table(spark, rows).selectExpr("*", "1 as id", "2 as pos", "3 as template", "4 as term", "5 as t", "6 as seed", "7 as doc", "8 as slots", "9 as df")
+    bench = spark.createDataFrame([(7, item)] * 2, "item_id long, text string").selectExpr("*", "1 as id", "2 as key", "'x' as source")
+    assert {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()} == {(1, 7), (3, 7)}
+    at = long.split().index(passage.split()[0], 399_000)
+    while long.split()[at : at + 70] != passage.split():
+        at += 1
+    spans = {(r.doc_id, r.first_word, r.n_words) for r in repeated_spans(docs).collect()}
+    assert (2, 40, 70) in spans and {i for i, *_ in spans} == {1, 2, None} and (1, 0, len(long.replace(".", "").split())) in spans
+    prints = imatch(docs).collect()
+    assert len(prints) == 5 * len(rows)
+    assert len({(r.subset, r.fingerprint) for r in prints if r.doc_id in (1, None)}) == 5 and all(r.fingerprint is None for r in prints if r.doc_id == 4)
+    fallen = {(r.doc_id, r.kept_doc_id) for r in repeated_lines(docs).collect()}
+    assert fallen == {(None, 1)}
+    assert {(r.doc_id, r.kept_doc_id) for r in near_duplicates(docs).collect()} == {(None, 1)}
+
+
+def brute_imatch(rows, low=0.15, high=0.8):
+    terms = [(i, sorted(set((t or "").lower().split()))) for i, t in rows]
+    df = Counter(w for _, ws in terms for w in ws)
+    n = np.log(max(2, sum(t is not None for _, t in rows)))
+    out = []
+    for i, ws in terms:
+        kept = [w for w in ws if low <= (n - np.log(df[w])) / n <= high]
+        for s in range(5):
+            own = [w for w in kept if s == 0 or md5(w.encode()).hexdigest()[s - 1] < "b"]
+            out.append((i, s, len(own), md5(" ".join(own).encode()).hexdigest() if own else None))
+    return Counter(out)
+
+
+def test_imatch_by_brute_force(spark, corpus):
+    docs = table(spark, corpus)
+    for options in ({}, {"broadcast_terms": 0}, {"low": 0.0, "high": 1.0}):
+        want = brute_imatch(corpus, **{k: v for k, v in options.items() if k != "broadcast_terms"})
+        assert Counter(map(tuple, imatch(docs, **options).collect())) == want
+
+
 def test_empty_tables(spark, corpus):
     docs, some = table(spark, []), table(spark, corpus[:3])
     bench = spark.createDataFrame([], "item_id long, text string")
