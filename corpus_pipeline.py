@@ -19,22 +19,26 @@ HELD = 2_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words are mostly of known languages; a text without words goes."""
+    """Documents whose words are mostly of known languages, with the language found as their ``lang``.  Null and empty texts and those
+    without words go; repeated rows and null ids are judged like any other."""
     return keep_identified(docs, train(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier document, or an earlier line, has; those that nothing is left of go."""
+    """Documents without lines that an earlier document, or an earlier line, has; those that nothing is left of go.  Null ids come last;
+    rows that are the same keep the same lines."""
     return without_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; all others."""
+    """One document of each group of near duplicates, that of the least id (null ids last; one of rows that are the same); all others, also null
+    and empty ones."""
     return without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item.  Texts are judged, not ids, so rows with null or repeated ids are as well."""
+    """Documents that contain no benchmark item.  Texts are judged, not ids, so rows with null or repeated ids are as well; null and empty
+    texts contain none."""
     (t,) = fresh(docs, "t")
     key = F.xxhash64(F.col("text").cast("string"))
     found = leaks(docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -45,7 +49,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """``doc_id, n_tokens, token_ids, exact`` of each document: token ids, and whether they decode to its text.  Null and empty texts have
+    none; each of repeated rows has its own; ids may be null."""
     return round_trip(docs)
 
 
