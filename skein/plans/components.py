@@ -15,7 +15,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     end as stars about the roots after O(log^2) rounds.  Null ends and loops are left out.  Every round is checkpointed.  The minimum
     of a node's neighbours is aggregated before the shuffle; where it is joined back, that side has one row a node, so AQE can split
     the neighbours of a hot one."""
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b and a is not null and b is not null").distinct())
+    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b and a is not null and b is not null").distinct(), forget=True)
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,7 +26,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = e1.groupBy("a").agg(F.min("b").alias("m"))
         both_ends = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = e1.join(low, "a").select(F.explode(both_ends).alias("x")).select("x.a", "x.b").filter("a > b").distinct()
-        e = cut(small)
+        e = cut(small, forget=True)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit((1 << 40) - 1)))).first()
         if now == seen:
             roots = e.select("b").distinct()

@@ -24,12 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, forget: bool = False) -> DataFrame:
     """The same rows from a reliable checkpoint: computed once, safe when an executor is lost.  The columns are new ones to Catalyst,
     so that the rows can be joined with what they come from.  Spark removes the files of a checkpoint that nothing refers to
-    any more where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
-    shared_dir(df.sparkSession)
+    any more where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+
+    A checkpoint keeps the size that Catalyst estimated for its plan.  Over rounds of joins these estimates multiply, until
+    numbers of millions of digits take longer than the work; with ``forget`` the size is unknown from here on, for use in rounds."""
+    spark = df.sparkSession
+    shared_dir(spark)
     out = df.checkpoint()
+    if forget:
+        out = DataFrame(spark._jsparkSession.internalCreateDataFrame(out._jdf.queryExecution().toRdd(), out._jdf.schema(), False), spark)
     return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
 
 
