@@ -22,7 +22,7 @@ WORD_SQL = r"[0-9a-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+"
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 SLICE_BYTES = (1 << 20) - 64
-HELD = 2_000_000  # rows of a few numbers that may be broadcast
+HELD = 200_000  # rows of a few numbers that may be broadcast
 HOT = 4_000_000  # rows of one key that may meet in one task
 
 

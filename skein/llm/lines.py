@@ -38,8 +38,8 @@ class Lines:
         keep = b - a >= least
         self.of, self.no, self.a, self.b = of[some[keep]], no[some[keep]], a[keep], b[keep]
         self.n = self.b - self.a
-        self.p = prefix_hash(mix(c.astype(U) + U(1), 9))
-        self.q = prefix_hash(mix(c.astype(U) + U(1), 10))
+        self.mixed = mix(c.astype(U) + U(1), 9)
+        self.p = prefix_hash(self.mixed)
         self.inv = powers(len(self.p))[1]
 
     def sub(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,7 +53,8 @@ class Lines:
     @property
     def check(self) -> np.ndarray:
         """32 more bits, from other hashes of the characters: equal lines are known by both."""
-        return (mix((self.q[self.b] - self.q[self.a]) * self.inv[self.a], 11) >> U(32)).astype(np.uint32).view(np.int32)
+        q = prefix_hash(self.mixed * self.mixed)
+        return (mix((q[self.b] - q[self.a]) * self.inv[self.a], 11) >> U(32)).astype(np.uint32).view(np.int32)
 
     def halves(self) -> np.ndarray:
         """Four keys a line.  Lines within one edit share the first half of the shorter, or what follows it: [2 d + i] has half i

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.session import cut
-from .common import HELD, U, Words, bitmap, bits_for, fresh, in_bitmap, inside, look_up, shuffle_partitions, text_slices, windows
+from .common import U, Words, bitmap, bits_for, fresh, in_bitmap, inside, look_up, shuffle_partitions, text_slices, windows
 
 SHINGLE, K, THRESHOLD, ESTIMATE = 3, 64, 0.5, 0.3
-LARGEST = 2_000  # texts whose sets may meet in one task
+DIVIDED, LARGEST = 2_000, 50_000  # blocks of more texts are divided; more don't meet in one task
 
 
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,55 +166,58 @@ def _divided(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _verified(sets: DataFrame, lists: DataFrame, first: DataFrame, k: int, threshold: float, estimate: float, rounds: int = 4) -> DataFrame:
-    """``t, root`` of texts ``block, t, s`` in blocks too large for a task.
-
-    In each round the largest part of a block so far is represented by one of its texts, drawn anew, and all texts of other parts are
-    verified with it: of a great number of near copies most become one part.  Then the pairs are verified that have a sketch value in common and aren't in one part
-    yet.  Their number is the product of the sizes of the parts that share a value: small, unless a value is shared by many texts that aren't
-    near."""
-    sketch = first.select("t", F.col("v").alias("z"))
-    whole = cut(sets.join(sketch, "t").select("block", "t", "s", F.array_sort("z").alias("z")))
+    """``t, root`` of texts ``block, t, s`` in blocks too large for a task; ``lists`` has the values ``v`` that link them.
+
+    In each round every text is verified with one other of another part of its block: of the texts that come first in its lists, in an
+    order drawn anew, the one that does so in most.  Near copies of each other mostly have the same one, so that they become one part
+    however many they are.  Then the pairs are verified that have a value in common and aren't in one part yet: their number is the
+    product of the sizes of the parts that share a value."""
+    sketches = cut(first.join(sets.select("t"), "t").select("t", F.array_sort("v").alias("z")))
+    whole = cut(sets.select("t", "s"))
+
+    def beside(pairs: DataFrame, table: DataFrame, x: str) -> DataFrame:
+        """``x1, x2``: what the table has of both ends of pairs; an end of a great number of pairs is spread over tasks."""
+        for end, name, by in (("a", f"{x}1", "b"), ("b", f"{x}2", "a")):
+            often = pairs.groupBy(end).agg(F.count("*").alias("n"))
+            own = cut(table.select(F.col("t").alias(end), F.col(x).alias(name)).join(often, end))
+            pairs = look_up(pairs, own, end, "n", by, held=0, hot=20_000).drop("n")  # rows are whole sets here
+        return pairs
 
     def near(pairs: DataFrame) -> DataFrame:
         """Those pairs ``a, b`` that the union sketch and the exact sets confirm."""
-        one = pairs.join(whole.select(F.col("t").alias("a"), F.col("s").alias("s1"), F.col("z").alias("z1")), "a")
-        often = pairs.groupBy("b").agg(F.count("*").alias("n"))
-        other = cut(whole.select(F.col("t").alias("b"), F.col("s").alias("s2"), F.col("z").alias("z2")).join(often, "b"))
-        two = look_up(one, other, "b", "n", "a", held=0, hot=20_000)  # rows are whole sets here
         union = F.slice(F.array_sort(F.array_union("z1", "z2")), 1, k)
         both = F.filter(F.array_intersect("z1", "z2"), lambda x: x <= F.element_at(union, -1))
+        close = cut(beside(pairs, sketches, "z").filter(F.size(both) >= estimate * F.size(union)).select("a", "b"))
         same = F.size(F.array_intersect("s1", "s2"))
-        close = two.filter(F.size(both) >= estimate * F.size(union))
-        return close.filter(same >= threshold * (F.size("s1") + F.size("s2") - same)).select("a", "b")
+        return beside(close, whole, "s").filter(same >= threshold * (F.size("s1") + F.size("s2") - same)).select("a", "b")
 
-    parts = whole.select("block", "t", F.col("t").alias("root"))
-    links = None
+    links = sets.sparkSession.createDataFrame([], "a long, b long")
+    listed = cut(lists.select("v", "t", F.col("t").alias("root")))
     for n in range(rounds):
-        # the largest part of a block is represented by one of its texts, which all others meet
-        sizes = parts.groupBy("block", "root").agg(F.count("*").alias("m"), F.min_by("t", F.xxhash64("t", F.lit(n))).alias("rep"))
-        hub = sizes.groupBy("block").agg(F.max_by(F.struct("root", "rep"), F.struct("m", F.xxhash64("root", F.lit(n)))).alias("hub"), F.sum("m").alias("n"))
-        away = cut(look_up(parts, cut(hub), "block", "n", "t").filter("root <> hub.root").select(F.col("t").alias("a"), F.col("hub.rep").alias("b")))
-        if away.isEmpty():
+        order = F.xxhash64("t", F.lit(n))
+        heads = listed.groupBy("v").agg(F.min(F.struct(order.alias("o"), "t", "root")).alias("m"), F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        away = look_up(listed, cut(heads.filter("lo < hi").select("v", F.col("m.t").alias("b"), F.col("m.root").alias("other"), "n")), "v", "n", "t", held=0).filter("root <> other")
+        one = away.groupBy("t", "b").agg(F.count("*").alias("c")).groupBy(F.col("t").alias("a")).agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+        one = cut(one, forget=True)
+        if one.isEmpty():
             break
-        new = near(away)
-        links = cut(new if links is None else links.union(new))
-        parts = cut(whole.select("block", "t").join(components(links), F.col("t") == F.col("node"), "left").select("block", "t", F.coalesce("root", "t").alias("root")))
-    listed = lists.join(parts, "t")
+        links = cut(links.union(near(one)), forget=True)
+        listed = cut(listed.drop("root").join(components(links), F.col("t") == F.col("node"), "left").select("v", "t", F.coalesce("root", "t").alias("root")), forget=True)
     several = listed.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("v")
     listed = cut(listed.join(several, "v", "left_semi"))
     other = listed.select("v", F.col("t").alias("b"), F.col("root").alias("other"))
-    pairs = listed.select("v", F.col("t").alias("a"), "root").join(other, "v").filter("a < b and root <> other").select("a", "b").distinct()
+    pairs = cut(listed.select("v", F.col("t").alias("a"), "root").join(other, "v").filter("a < b and root <> other").select("a", "b").distinct())
     return cut(components(links.union(near(pairs)))).select(F.col("node").alias("t"), "root")
 
 
-def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: float = THRESHOLD, estimate: float = ESTIMATE, held: int = HELD, largest: int = LARGEST) -> DataFrame:
+def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: float = THRESHOLD, estimate: float = ESTIMATE, held: int = 2_000_000, divided: int = DIVIDED, largest: int = LARGEST) -> DataFrame:
     """``t, root``: the hash of a text and its group, for texts that are in a group with another text.
 
     Texts that are equal count once.  A text's sketch values in order of how many texts retain them, rarest first: two sketches
     with an estimate of at least e share at least e of the larger, so they share one among the first (1 - e) n + 1.  These
     are linked; what is so connected forms a block, and the sets of a block meet in one task.  Blocks of more than
-    ``largest`` texts, which weak links chain together, are first divided by their exact sets in the same way (``_divided``); what is
-    larger even then, a great number of near copies of each other, is verified by joins (``_verified``).  Where at most ``held`` texts are in
+    ``divided`` texts, which weak links chain together, are first divided by their exact sets in the same way (``_divided``); where more than
+    ``largest`` texts remain, a great number of near copies of each other, they are verified by joins (``_verified``).  Where at most ``held`` texts are in
     blocks, their hashes are broadcast, else joined."""
     spark = docs.sparkSession
     rows = _texts(docs)
@@ -258,14 +261,14 @@ def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: fl
 
         return rows.mapInArrow(placed, "block long, t long, s array<long>")
 
-    over = lambda b: cut(b.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > largest))
+    over = lambda b, most: cut(b.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > most))
     within = lambda b, some, how: look_up(b, some, "block", "n", "t", how, held).drop("n")
-    large, verified = over(blocks), None
+    large, verified = over(blocks, min(divided, largest)), None
     if not large.isEmpty():
         inside = cut(members(within(blocks, large, "inner")).dropDuplicates(["t"]))
         finer = cut(_divided(inside, threshold))
         blocks = cut(within(blocks, large, "left_anti").select("t", "block").union(finer.select("t", "block")))
-        hard = over(finer)
+        hard = over(finer, largest)
         if not hard.isEmpty():
             apart = cut(within(inside.drop("block").join(finer, "t"), hard, "inner").select("block", "t", "s"))
             verified = _verified(apart, lists.join(apart.select("t"), "t", "left_semi"), first, k, threshold, estimate)
@@ -303,9 +306,9 @@ def duplicate_rows(docs: DataFrame, **options) -> DataFrame:
     groups = text_groups(docs, **options)
     word = "[0-9A-Za-z\\x{C0}-\\x{1FFF}\\x{2080}-\\x{2FFF}\\x{3040}-\\x{10FFFF}]"
     ids = _texts(docs).filter(F.col("text").rlike(word)).select("doc_id", "t")
-    placed = cut(look_up(ids, cut(groups), "t", how="left", held=options.get("held", HELD)).withColumn("root", F.coalesce("root", "t")))
+    placed = cut(look_up(ids, cut(groups), "t", how="left", held=options.get("held", 2_000_000)).withColumn("root", F.coalesce("root", "t")))
     kept = cut(placed.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1"))
-    return look_up(placed, kept, "root", "n", "doc_id", held=options.get("held", HELD)).select("doc_id", "t", "root", "keep_id")
+    return look_up(placed, kept, "root", "n", "doc_id", held=options.get("held", 2_000_000)).select("doc_id", "t", "root", "keep_id")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -319,7 +322,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return duplicate_rows(docs, **options).filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", F.col("keep_id").alias("kept_doc_id")).distinct()
 
 
-def without_near_duplicates(docs: DataFrame, held: int = HELD, **options) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, held: int = 2_000_000, **options) -> DataFrame:
     """The rows of ``docs`` less all but one of each group; all columns stay.  The one has the group's least doc_id (the least text
     hash among repeated ids); of rows that are the same in both, one stays.  Rows without words, also null and empty ones, all stay; an
     empty table stays one; added columns may have any name."""

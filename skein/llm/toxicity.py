@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,68 +80,67 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     are not used.  Labels other than 0 and 1, and null ids, don't count; of several labels of a document the largest does.  Rows with a null text aren't used;
     texts may be of any length.  Without usable rows there are no weights, and every score is 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y, own = [], [], -1
+    spark = docs.sparkSession
+    order = F.xxhash64("doc_id")
+    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
+    chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(order, "doc_id").limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id")
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_slices(batches, "text"):
-            x += distinct_features(texts)
-            y.append(batch.column(1).to_numpy().astype(float))
-            own = batch.column(0)[0].as_py()
-        if not x:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ints(distinct_features(texts))], names=["doc_id", "y", "f"])
+
+    sample = cut(texts.select("doc_id", "y", "text").mapInArrow(seen, "doc_id long, y int, f array<int>"))
+    often = sample.select(F.explode("f").alias("f")).groupBy("f").count().filter(F.col("count") >= min_docs).select("f").toArrow()  # bounded by the sample
+    used = np.sort(often.column("f").to_numpy().view(np.uint32))
+    sent = spark.sparkContext.broadcast(used)
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = sent.value
+        for b in batches:
+            found = [np.asarray(x, np.int32).view(np.uint32) for x in b.column(2).to_pylist()]
+            at = [np.searchsorted(used, f) for f in found]
+            kept = [i[used[np.minimum(i, len(used) - 1)] == f] if len(used) else i[:0] for i, f in zip(at, found)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _ints(kept)], names=["doc_id", "y", "f"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, y, folds = [], [], set()
+        for b in batches:
+            folds |= set(b.column(0).to_pylist())
+            y += b.column(1).to_pylist()
+            ix += [np.asarray(x, np.int64) for x in b.column(2).to_pylist()]
+        if not ix:
             return
-        labels_ = np.concatenate(y)
-        used, counts = np.unique(np.concatenate(x), return_counts=True)
-        used = used[counts >= min_docs]
-
-        def index(f: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(used, f)
-            return at[used[np.minimum(at, len(used) - 1)] == f] if len(used) else at[:0]
-
-        ix = [index(f) for f in x]
+        (own,) = folds
+        t = np.array(y, float)
         held = np.flatnonzero(np.arange(len(ix)) % FOLDS == own)  # none of them if own is FOLDS
         learnt = np.setdiff1d(np.arange(len(ix)), held)
-        w, b = ftrl([ix[i] for i in learnt], labels_[learnt], len(used), alpha, beta, l1, l2, epochs)
+        w, b = ftrl([ix[i] for i in learnt], t[learnt], len(used), alpha, beta, l1, l2, epochs)
         if own < FOLDS:
             p = np.array([1 / (1 + np.exp(-np.clip(w[ix[i]].sum() + b, -35, 35))) for i in held])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), SCORED)), pa.array(p, pa.float64()), pa.array(labels_[held])], names=["feature", "weight", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), SCORED)), pa.array(p, pa.float64()), pa.array(t[held])], names=["feature", "weight", "y"])
         else:
             at = np.flatnonzero(w)
-            features_ = np.concatenate((used[at].astype(np.int64), [BIAS]))
-            yield pa.RecordBatch.from_arrays([pa.array(features_), pa.array(np.concatenate((w[at], [b]))), pa.nulls(len(features_), pa.float64())], names=["feature", "weight", "y"])
-
-    order = F.xxhash64("doc_id")
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
-    chosen = chosen.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(order, "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    each = texts.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).repartitionByRange(FOLDS + 1, "fold")
-    out = cut(each.sortWithinPartitions("fold", order, "doc_id", "text").select("fold", "y", "text").mapInArrow(_by_fold(run), "feature long, weight double, y double"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((used[at].astype(np.int64), [BIAS]))), pa.array(np.concatenate((w[at], [b]))), pa.nulls(len(at) + 1, pa.float64())], names=["feature", "weight", "y"])
+
+    # a key for each fit that Spark's hash puts in a partition of its own
+    place = spark.range(1000).select("id", F.pmod(F.hash("id"), F.lit(FOLDS + 1)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).orderBy("p")
+    keys = F.array(*(F.lit(r["id"]).cast("long") for r in place.collect()))
+    each = sample.mapInArrow(pruned, "doc_id long, y int, f array<int>").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
+    each = each.withColumn("key", F.element_at(keys, F.col("fold") + 1)).repartition(FOLDS + 1, "key").sortWithinPartitions(order, "doc_id", "f")
+    out = cut(each.select("fold", "y", "f").mapInArrow(fit, "feature long, weight double, y double"))
     scored = out.filter(F.col("feature") == SCORED).select("weight", "y").toArrow()  # a row for each of the sample's
     weights = out.filter(F.col("feature") >= BIAS).select("feature", "weight")
     if not scored.num_rows:
         return weights
     threshold = best_threshold(scored.column("weight").to_numpy(), scored.column("y").to_numpy())
-    return weights.union(docs.sparkSession.createDataFrame([(THRESHOLD, threshold)], "feature long, weight double"))
-
-
-def _by_fold(run: Callable) -> Callable:
-    """``run`` for each run of batches of one fold: ranges may put several folds, in order, in one task."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            folds = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(folds)) + 1).tolist(), len(folds)]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if a == b:
-                    continue
-                if now is not None and folds[a] != now:
-                    yield from run(iter(held))
-                    held = []
-                now = folds[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from run(iter(held))
-
-    return each
+    return weights.union(spark.createDataFrame([(THRESHOLD, threshold)], "feature long, weight double"))
+
+
+def _ints(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int32), *(a.astype(np.uint32).view(np.int32) for a in arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def score(docs: DataFrame, weights: DataFrame) -> DataFrame:

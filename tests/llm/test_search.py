@@ -77,7 +77,7 @@ def brute_near(rows):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"held": 0}, {"largest": 0}, {"largest": 6}])
+@pytest.mark.parametrize("options", [{}, {"held": 0}, {"largest": 0}, {"largest": 6}, {"divided": 0}])
 def test_near_duplicates(spark, corpus, options):
     got = {tuple(r) for r in near_duplicates(table(spark, corpus), **options).collect()}
     want = brute_near(corpus)
@@ -85,7 +85,7 @@ def test_near_duplicates(spark, corpus, options):
     assert not {r[0] for r in got} - {r[0] for r in want}
 
 
-@pytest.mark.parametrize("options", [{}, {"held": 0}, {"largest": 0}, {"largest": 6, "held": 0}])
+@pytest.mark.parametrize("options", [{}, {"held": 0}, {"divided": 3}, {"largest": 0}, {"largest": 6, "held": 0}])
 def test_near_duplicates_are_exact_with_whole_sets(spark, corpus, options):
     """Sketches that hold all of a set estimate without error, so every way through the operator finds what brute force does."""
     docs = table(spark, corpus).selectExpr("*", "1 as t", "2 as root", "3 as block", "4 as v")
