@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import comb
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import capitalised, category, file_name, parent, rounded, top_dir
 from ..plans.graph import AMBIGUOUS, EXTRACTED, INFERRED, Graph, doubtful_first, one_of
-from ..plans.session import cut
+from ..plans.session import cut, numbered
 from .query import cohesion, labelled
 
 STRUCTURAL = ("contains", "imports", "imports_from", "method")
@@ -147,51 +148,105 @@ def thin_communities(graph: Graph, below: int = 3) -> DataFrame:
     return community_sizes(graph).filter(F.col("size") < below)
 
 
-def betweenness(graph: Graph, held: int = 20_000_000) -> DataFrame:
-    """``id, score``: Brandes' betweenness over undirected links between nodes, scaled by 2 / ((n - 1)(n - 2)).
-
-    Sources are spread over tasks; each gets the adjacency as a broadcast of at most ``held`` links, beyond which this is refused."""
+def _shortest(source: int, starts: list[int], near: list[int], total: np.ndarray) -> None:
+    """Brandes' accumulation from one source."""
+    order, before, count, dist = [source], {source: []}, {source: 1.0}, {source: 0}
+    for v in order:  # grows while it is walked
+        for w in near[starts[v] : starts[v + 1]]:
+            if w not in dist:
+                dist[w], count[w], before[w] = dist[v] + 1, 0.0, []
+                order.append(w)
+            if dist[w] == dist[v] + 1:
+                count[w] += count[v]
+                before[w].append(v)
+    share = dict.fromkeys(order, 0.0)
+    for w in reversed(order):
+        for v in before[w]:
+            share[v] += count[v] / count[w] * (1 + share[w])
+        if w != source:
+            total[w] += share[w]
+
+
+def _stacked(source: int, starts: list[int], near: list[int], total: np.ndarray) -> None:
+    """Paths that a last-in-first-out walk from one source hands on: at its first visit a node gives all it has to each link's unvisited end."""
+    stack, seen, paths = [source], set(), {source: 1.0}
+    while stack:
+        v = stack.pop()
+        if v in seen:
+            continue
+        seen.add(v)
+        for w in near[starts[v] : starts[v + 1]]:
+            if w not in seen:
+                paths[w] = paths.get(w, 0.0) + paths[v]
+                stack.append(w)
+    for w, n in paths.items():
+        if w != source:
+            total[w] += n
+
+
+def betweenness(graph: Graph, held: int = 20_000_000, mode: str = "shortest") -> DataFrame:
+    """``id, score`` of each node, scaled by 2 / ((n - 1)(n - 2)): with ``mode`` 'shortest' Brandes' betweenness over undirected links, with
+    'path_count' the paths that end at a node in depth-first walks from all nodes, repeated links counting again.
+
+    Nodes become numbers and links two integer arrays, about eight bytes a link, which are broadcast; sources are spread over tasks.  More
+    than ``held`` links between nodes, or nodes, are refused.  Ids without a node have no score and lead nowhere."""
+    if mode not in ("shortest", "path_count"):
+        raise ValueError(f"mode = {mode!r}")
     spark = graph.nodes.sparkSession
-    ids = graph.nodes.select("id").distinct()
-    links = graph.adjacent.filter("a <> b").select("a", "b").distinct().join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi")
-    links = cut(links)
-    if links.count() > held:
-        raise ValueError(f"more than {held} links: betweenness holds the adjacency in each task")
+    ids = numbered(graph.nodes.select("id").distinct(), "i", "id")
+    a, b = (ids.select(F.col("id").alias(x), F.col("i").cast("int").alias(f"i{x}")) for x in "ab")
+    links = graph.adjacent if mode == "path_count" else graph.adjacent.groupBy("a", "b").agg(F.min("pos").alias("pos"))
+    links = cut(links.filter("a <> b").join(a, "a").join(b, "b").select("ia", "ib", "pos"))
     n = ids.count()
-    adj: dict[str, list[str]] = {}
-    for a, b in links.orderBy("a", "b").toLocalIterator():
-        adj.setdefault(a, []).append(b)
-    sent = spark.sparkContext.broadcast(adj)
-
-    def brandes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, float] = {}
-        near = sent.value
+    if links.count() > held or n > held:
+        raise ValueError(f"more than {held} links or nodes: betweenness holds them in each task")
+    table = links.toArrow()
+    near = {c: table.column(c).to_numpy() for c in ("ia", "ib", "pos")}
+    order = np.lexsort((near["ib"], near["pos"], near["ia"]))
+    starts = np.searchsorted(near["ia"][order], np.arange(n + 1)).astype(np.int64)
+    sent = spark.sparkContext.broadcast((starts, near["ib"][order].astype(np.int32)))
+    walk = _shortest if mode == "shortest" else _stacked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, near = (x.tolist() for x in sent.value)
+        total = np.zeros(len(starts) - 1)
         for batch in batches:
-            for s in batch.column(0).to_pylist():
-                order, before, count, dist = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in near.get(v, ()):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            count[w] = count.get(w, 0.0) + count[v]
-                            before.setdefault(w, []).append(v)
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += count[v] / count[w] * (1 + share[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + share[w]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())], names=["id", "score"])
-
-    scale = 0.5 / comb(n - 1, 2) if n > 2 else 0.0  # both directions of a pair are counted
-    parts = ids.repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(brandes, "id string, score double")
-    summed = parts.groupBy("id").agg(F.sum("score").alias("s"))
-    return ids.join(summed, "id", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
+            for source in batch.column(0).to_pylist():
+                walk(source, starts, near, total)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "s"])
+
+    # every pair is met from both of its ends, which Brandes' counts halve
+    scale = (0.5 if mode == "shortest" else 1.0) / comb(n - 1, 2) if n > 2 else 0.5 if mode == "shortest" else 1.0
+    parts = ids.select("i").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(run, "i long, s double")
+    return ids.join(parts.groupBy("i").agg(F.sum("s").alias("s")), "i", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("score"))
+
+
+@dataclass(frozen=True)
+class Analysis:
+    """What ``analyze`` finds, each a DataFrame."""
+
+    god_nodes: DataFrame
+    surprising_connections: DataFrame
+    community_sizes: DataFrame
+    cohesion_scores: DataFrame
+    community_labels: DataFrame
+    confidence_stats: DataFrame
+
+    def rows(self) -> DataFrame:
+        """``section, key, value``: all of it but the surprises, as text."""
+        text = lambda df, section, key, value: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"))
+        counts = self.confidence_stats.select(F.explode(F.create_map(*[x for c in self.confidence_stats.columns for x in (F.lit(c), F.col(c))])).alias("k", "v"))
+        return (
+            text(self.god_nodes, "god", "id", "degree").union(text(self.community_sizes, "size", "community", "size"))
+            .union(text(self.cohesion_scores.withColumn("percent", F.round(F.col("cohesion") * 100).cast("long")), "cohesion", "community", "percent"))
+            .union(text(self.community_labels, "label", "community", "label")).union(text(counts, "confidence", "k", "v"))
+        )
+
+
+def analyze(graph: Graph) -> Analysis:
+    """Hubs, surprises, sizes, cohesion and labels of communities, and confidence counts of a graph."""
+    return Analysis(god_nodes(graph), surprises(graph), community_sizes(graph), cohesion(graph), community_labels(graph), confidence_stats(graph))
 
 
 def questions(graph: Graph, n: int = 7, bridges: bool = True) -> DataFrame:

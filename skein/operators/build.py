@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.graph import Graph
+from ..plans.graph import AMBIGUOUS, EXTRACTED, INFERRED, Graph, one_of
 
 NODE_KEY, EDGE_KEY = ("id",), ("source", "target", "relation")
 
@@ -95,3 +95,20 @@ def violations(graph: Graph) -> DataFrame:
         .union(n.filter("label is null or label = ''").select(F.lit("EmptyLabel"), "ord", "id"))
         .union(twice).union(unknown("source")).union(unknown("target"))
     )
+
+
+def error_texts(graph: Graph) -> DataFrame:
+    """``kind, ord, id, message``: what ``violations`` finds and confidences that aren't one of the three, in words."""
+    e = graph.edges.select("ord", F.concat("source", F.lit(" -> "), "target").alias("edge"), "confidence")
+    odd = e.filter(~F.coalesce(F.col("confidence").isin(EXTRACTED, INFERRED, AMBIGUOUS), F.lit(False))).select(F.lit("InvalidConfidence").alias("kind"), "ord", F.coalesce("confidence", F.lit("")).alias("id"), F.lit(None).cast("string").alias("edge"))
+    found = violations(graph).withColumn("edge", F.lit(None).cast("string"))
+    ends = found.filter("kind = 'UnknownNodeReference'").drop("edge").join(e.select("ord", "edge"), "ord")
+    found = found.filter("kind <> 'UnknownNodeReference'").unionByName(ends).unionByName(odd)
+    texts = {
+        "DuplicateNodeId": F.concat(F.lit("Duplicate node ID: "), "id"),
+        "UnknownNodeReference": F.concat(F.lit("Edge '"), "edge", F.lit("' references unknown node: "), "id"),
+        "EmptyNodeId": F.lit("Node has empty ID"),
+        "EmptyLabel": F.lit("Node has empty label"),
+        "InvalidConfidence": F.concat(F.lit("Invalid confidence value: "), "id", F.lit(f" (not {EXTRACTED}, {INFERRED} or {AMBIGUOUS})")),
+    }
+    return found.select("kind", "ord", "id", one_of("kind", texts).alias("message"))

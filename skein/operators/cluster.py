@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.components import components as linked
 from ..plans.graph import EXTRACTED, Graph
 from ..plans.session import cut, numbered
+from .build import merge
 
 
 def components(graph: Graph) -> DataFrame:
@@ -139,3 +140,22 @@ def split_oversized(graph: Graph, most: int = 25) -> DataFrame:
 def cluster(graph: Graph, most: int = 25) -> Graph:
     found = with_communities(graph, cut(leiden(graph)))
     return with_communities(found, cut(split_oversized(found, most)))
+
+
+def build_graph(*extractions: Graph, most: int = 25) -> Graph:
+    """One graph from extractions: the first of each node id, in order of ids, and of each edge; communities of at most ``most`` nodes where
+    they can be split; all hyperedges."""
+    g = merge(*extractions)
+    nodes = numbered(g.nodes.drop("ord"), "ord", "id").select(*g.nodes.columns)
+    edges = g.edges if len(extractions) == 1 else cut(_after(extractions, g.edges))
+    return cluster(Graph(cut(nodes), edges, g.hyperedges), most)
+
+
+def _after(extractions: tuple[Graph, ...], edges: DataFrame) -> DataFrame:
+    """Edges numbered anew: those of an extraction come after those of the ones before."""
+    own = None
+    for i, g in enumerate(extractions):
+        one = g.edges.select("source", "target", "relation", "ord").withColumn("__g", F.lit(i))
+        own = one if own is None else own.union(one)
+    place = own.groupBy("source", "target", "relation").agg(F.min(F.struct("__g", "ord")).alias("__o"))
+    return numbered(edges.drop("ord").join(place, ["source", "target", "relation"]), "ord", "__o").select(*edges.columns)

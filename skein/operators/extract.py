@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import WORD, content_hash, extension, file_stem
 from ..plans.graph import AMBIGUOUS, EDGE, EXTRACTED, INFERRED, NODE, Graph, conform
+from ..plans.session import cut, numbered
 
 KEYWORDS = ("fn ", "func ", "def ", "class ", "struct ", "interface ")
 REASONS = ("FIXME", "HACK", "IMPORTANT", "NOTE", "RATIONALE", "TODO", "WHY")
@@ -24,7 +26,8 @@ BY_EXTENSION = {e: name for name, es in LANGUAGES.items() for e in es.split()}
 _I = r"([A-Za-z_]\w*)"
 #: Definitions by language: pattern of the name, and the type of node.
 _TYPES = rf"\b(?:class|struct|interface|trait|enum|object|protocol|record|union)\s+{_I}"
-_C_FUN = rf"^[ \t]*(?:[\w:<>*&~\[\],]+[ \t*&]+)+{_I}\s*\([^;{{}}]*\)[^;{{}}]*\{{"
+_BEGIN = r"(?:^|(?<=[{};]))[ \t]*"
+_C_FUN = rf"{_BEGIN}(?:[\w:<>*&~\[\],]+[ \t]+)+[*&]*{_I}\s*\([^;{{}}]*\)[^;{{}}]*\{{"
 DEFINITIONS = {
     "bash": [(rf"^\s*(?:function\s+)?{_I}\s*\(\)\s*\{{", "function")],
     "c": [(_C_FUN, "function"), (_TYPES, "class")],
@@ -32,7 +35,7 @@ DEFINITIONS = {
     "elixir": [(rf"\bdefp?\s+{_I}", "function"), (r"\bdefmodule\s+([\w.]+)", "class")],
     "go": [(rf"^\s*func\s+(?:\([^)]*\)\s*)?{_I}", "function"), (rf"^\s*type\s+{_I}\s+(?:struct|interface)", "class")],
     "java": [(_C_FUN, "function"), (_TYPES, "class")],
-    "javascript": [(rf"\bfunction\s*\*?\s*{_I}", "function"), (rf"\b(?:const|let|var)\s+{_I}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", "function"), (rf"^\s+(?:async\s+)?{_I}\s*\([^)]*\)\s*\{{", "method"), (_TYPES, "class")],
+    "javascript": [(rf"\bfunction\s*\*?\s*{_I}", "function"), (rf"\b(?:const|let|var)\s+{_I}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", "function"), (rf"{_BEGIN}(?:(?:async|static|get|set)\s+)*{_I}\s*\([^)]*\)\s*\{{", "method"), (_TYPES, "class")],
     "kotlin": [(rf"\bfun\s+(?:<[^>]*>\s*)?{_I}", "function"), (_TYPES, "class")],
     "lua": [(r"\bfunction\s+(?:[\w]+[.:])*([A-Za-z_]\w*)", "function"), (rf"^\s*(?:local\s+)?{_I}\s*=\s*\{{", "class")],
     "php": [(rf"\bfunction\s+&?{_I}", "function"), (_TYPES, "class")],
@@ -40,7 +43,7 @@ DEFINITIONS = {
     "rust": [(rf"\bfn\s+{_I}", "function"), (_TYPES, "class")],
     "scala": [(rf"\bdef\s+{_I}", "function"), (_TYPES, "class")],
     "swift": [(rf"\bfunc\s+{_I}", "function"), (_TYPES, "class")],
-    "typescript": [(rf"\bfunction\s*\*?\s*{_I}", "function"), (rf"\b(?:const|let|var)\s+{_I}[^=\n]*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)[^=\n]*=>", "function"), (rf"^\s+(?:(?:public|private|protected|static|async|readonly)\s+)*{_I}\s*\([^)]*\)[^;{{}}]*\{{", "method"), (_TYPES, "class")],
+    "typescript": [(rf"\bfunction\s*\*?\s*{_I}", "function"), (rf"\b(?:const|let|var)\s+{_I}[^=\n]*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)[^=\n]*=>", "function"), (rf"{_BEGIN}(?:(?:public|private|protected|static|async|readonly)\s+)*{_I}\s*\([^)]*\)[^;{{}}]*\{{", "method"), (_TYPES, "class")],
     "zig": [(rf"\bfn\s+{_I}", "function"), (rf"\bconst\s+{_I}\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)\b", "class")],
 }
 _QUOTED = r"""['"]([^'"]+)['"]"""
@@ -49,7 +52,21 @@ IMPORTS = {
     "javascript": rf"^\s*import\b[^'\"]*{_QUOTED}", "typescript": rf"^\s*import\b[^'\"]*{_QUOTED}", "php": r"^\s*use\s+(?:[\w]+\\)*(\w+)", "ruby": rf"^\s*require(?:_relative)?\s*\(?\s*{_QUOTED}", "scala": r"^\s*import\s+([\w.]+)", "swift": r"^\s*import\s+(\w+)", "lua": rf"\brequire\s*\(?\s*{_QUOTED}", "elixir": r"^\s*(?:import|alias|use)\s+([\w.]+)",
 }
 _CALL = re.compile(r"\b([A-Za-z_]\w*)\s*\(")
-_NO_CALL = frozenset("if for while switch catch return function fn func def sizeof elif match when and or not in new throw await typeof assert super".split())
+_NO_CALL = frozenset("if for foreach while until unless switch catch return function fn func def sizeof elif elsif elseif match when and or not in new throw await typeof assert super import".split())
+_DOUBLE, _SINGLE, _TICKS = r'"(?:\\.|[^"\\])*"', r"'(?:\\.|[^'\\])*'", r"`(?:\\.|[^`\\])*`"
+_C_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+#: Comments and strings by language, as two patterns; what comes first in a text wins.
+_LINE_DOUBLE, _LINE_SINGLE = r'"(?:\\.|[^"\\\n])*"', r"'(?:\\.|[^'\\\n])*'"
+_TRIPLE = r'"""(?:\\.|.)*?(?:"""|\Z)'
+HIDDEN = {
+    "bash": (r"(?<!\S)#[^\n]*", rf"{_DOUBLE}|{_SINGLE}"), "ruby": (r"#(?!\{)[^\n]*|^=begin\b.*?^=end\b[^\n]*", rf"{_DOUBLE}|{_SINGLE}"), "elixir": (r"#(?!\{)[^\n]*", rf"{_TRIPLE}|{_DOUBLE}|{_SINGLE}"),
+    "lua": (r"--\[\[.*?(?:\]\]|\Z)|--[^\n]*", rf"{_LINE_DOUBLE}|{_LINE_SINGLE}|\[\[.*?\]\]"), "php": (rf"{_C_COMMENT}|#(?!\[)[^\n]*", rf"{_DOUBLE}|{_SINGLE}"),
+    "rust": (_C_COMMENT, rf'r(#+)".*?"\1|{_DOUBLE}' + r"|'(?:\\.[^'\n]*|[^'\\\n])'"), "go": (_C_COMMENT, rf"{_LINE_DOUBLE}|{_LINE_SINGLE}|`[^`]*`"), "zig": (r"//[^\n]*", rf"{_LINE_DOUBLE}|{_LINE_SINGLE}|\\\\[^\n]*"),
+    "javascript": (_C_COMMENT, rf"{_LINE_DOUBLE}|{_LINE_SINGLE}|{_TICKS}"), "typescript": (_C_COMMENT, rf"{_LINE_DOUBLE}|{_LINE_SINGLE}|{_TICKS}"), "swift": (_C_COMMENT, rf"{_TRIPLE}|{_LINE_DOUBLE}"),
+    **{x: (_C_COMMENT, rf"{_TRIPLE}|{_LINE_DOUBLE}" + r"|'(?:\\.[^'\n]*|[^'\\\n])'") for x in ("java", "kotlin", "scala")}, **{x: (_C_COMMENT, rf"{_LINE_DOUBLE}|{_LINE_SINGLE}") for x in ("c", "cpp")},
+}
+#: Languages whose definitions end where their indentation does.
+INDENTED = ("elixir", "lua", "ruby")
 
 
 def line_rules(files: DataFrame) -> DataFrame:
@@ -60,6 +77,12 @@ def line_rules(files: DataFrame) -> DataFrame:
     return hits.select("path", (F.col("line") + 1).cast("long").alias("line"), F.rtrim("k").alias("keyword"), name.alias("name")).filter("name <> ''")
 
 
+def _bytes(column: str, n: int) -> Column:
+    """The characters that the first ``n`` bytes hold whole."""
+    raw = F.substring(F.encode(column, "UTF-8"), 1, n)
+    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\ufffd+$", "")
+
+
 def rationale_lines(files: DataFrame) -> DataFrame:
     """``path, line, id, text, target``: comments that give reasons, in Python files; text of more than 200 bytes is cut."""
     lines = files.filter(extension("path") == "py").select("path", F.posexplode(F.split("content", "\n")).alias("line", "s"))
@@ -67,7 +90,7 @@ def rationale_lines(files: DataFrame) -> DataFrame:
     said = F.trim(F.regexp_extract(s, rf"^(?:#|//|/\*) (?:{'|'.join(REASONS)}):(.*)$", 1))
     hits = lines.filter(s.rlike(rf"^(?:#|//|/\*) (?:{'|'.join(REASONS)}):")).withColumns({"text": said, "line": (F.col("line") + 1).cast("long")}).filter(F.octet_length("text") > 5)
     stem = file_stem("path")
-    return hits.select("path", "line", F.concat(stem, F.lit("_rationale_"), "line").alias("id"), F.when(F.octet_length("text") > 200, F.concat(F.left("text", F.lit(197)), F.lit("..."))).otherwise(F.col("text")).alias("text"), stem.alias("target"))
+    return hits.select("path", "line", F.concat(stem, F.lit("_rationale_"), "line").alias("id"), F.when(F.octet_length("text") > 200, F.concat(_bytes("text", 197), F.lit("..."))).otherwise(F.col("text")).alias("text"), stem.alias("target"))
 
 
 def brace_balance(files: DataFrame) -> DataFrame:
@@ -102,7 +125,9 @@ def bodies(files: DataFrame, name: str) -> DataFrame:
 
 
 def module_id(m: str) -> str:
-    return re.sub(r"[\\/.]", "_", m.strip().lstrip(".")).lower()
+    """Node id of an imported module; steps to this folder or those above are no part of it."""
+    m = re.sub(r"^(?:\./)*(?:\.\./)*\.*", "", m.strip().strip("\"'"))
+    return re.sub(r"[\\/.]", "_", m).lower()
 
 
 class _File:
@@ -124,6 +149,11 @@ class _File:
         score = {EXTRACTED: 1.0, INFERRED: 0.75, AMBIGUOUS: 0.2}[confidence]
         self.rows.append({"what": "edge", "source": source, "target": target, "relation": relation, "confidence": confidence, "confidence_score": score, "source_file": self.path})
 
+    def imports(self, module: str, relation: str = "imports") -> None:
+        """An edge to a module; what has no name, and all of a module, gives none."""
+        if (i := module_id(module)) and module != "*":
+            self.edge(self.stem, i, relation)
+
     def call(self, caller: str, callee: str) -> None:
         i = f"{self.stem}:{callee}"
         sure = i in self.known
@@ -146,9 +176,10 @@ def _python(out: _File, content: str) -> None:
     for n in ast.walk(tree):
         if isinstance(n, ast.Import):
             for a in n.names:
-                out.edge(out.stem, module_id(a.name), "imports")
+                out.imports(a.name)
         elif isinstance(n, ast.ImportFrom):
-            out.edge(out.stem, module_id(n.module or ""), "imports_from")
+            for name in (n.module or "", *(a.name for a in n.names)):
+                out.imports(name, "imports_from")
 
     def visit(n: ast.AST, owner: str) -> None:
         for c in ast.iter_child_nodes(n):
@@ -167,26 +198,65 @@ def _python(out: _File, content: str) -> None:
             out.edge(i, f"{out.stem}:{n.name}", "rationale_for")
 
 
+def blanked(content: str, language: str, strings: bool = True) -> str:
+    """The text with blanks for comments and, if asked, for strings; offsets and lines stay.  What looks like a comment in a string is none."""
+    comment, string = HIDDEN[language]
+    pattern = re.compile(rf"(?P<comment>{comment})|(?:{string})" if r"\1" not in string else rf"(?P<comment>{comment})|(?:{string.replace(chr(92) + '1', chr(92) + '2')})", re.S | re.M)
+    return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if strings or m["comment"] is not None else m[0], content)
+
+
+def _end(code: str, at: int, language: str) -> int:
+    """Where the definition named at an offset ends: with its braces, or where the indentation is no longer deeper than its own."""
+    if language in INDENTED:
+        begin = code.rfind("\n", 0, at) + 1
+        own = len(code[begin:at]) - len(code[begin:at].lstrip())
+        end = code.find("\n", at)
+        while end >= 0:
+            line_end = code.find("\n", end + 1)
+            line = code[end + 1 : line_end if line_end >= 0 else len(code)]
+            if line.strip() and len(line) - len(line.lstrip()) <= own:
+                return end
+            end = line_end
+        return len(code)
+    depth = 0
+    for m in re.compile(r"[{};]").finditer(code, at):
+        if m[0] == ";":
+            if depth == 0:
+                return m.end()
+        else:
+            depth += 1 if m[0] == "{" else -1
+            if depth <= 0:
+                return m.end()
+    return len(code)
+
+
 def _by_patterns(out: _File, content: str, language: str) -> None:
-    lines = content.split("\n")
-    starts = {}
+    """Definitions by place, so a line may hold several; a call belongs to the innermost function around it."""
+    code = blanked(content, language)
+    found: dict[int, tuple[str, str]] = {}
     for pattern, kind in DEFINITIONS[language]:
-        for m in re.finditer(pattern, content, re.M):
-            if len(m[1].encode()) >= 2 and m[1] not in _NO_CALL:
-                starts.setdefault(content.count("\n", 0, m.start(1)), (m[1], kind))
-    for line, (name, kind) in sorted(starts.items()):
-        out.node(name, line + 1, kind)
+        loose = pattern == _C_FUN or kind == "method"  # these also match statements such as ``if (...) {``
+        for m in re.finditer(pattern, code, re.M):
+            if len(m[1].encode()) >= 2 and not (loose and m[1] in _NO_CALL):
+                found.setdefault(m.start(1), (m[1], kind))
+    places, names = sorted(found), {name for name, _ in found.values()}
+    breaks = [m.start() for m in re.finditer("\n", code)]
+    for at in places:
+        out.node(found[at][0], bisect_left(breaks, at) + 1, found[at][1])
     if language in IMPORTS:
-        for m in re.finditer(IMPORTS[language], content, re.M):
-            out.edge(out.stem, module_id(m[1]), "imports")
-    owner = "global"
-    for n, line in enumerate(lines):
-        named = starts.get(n)
-        if named and named[1] != "class":
-            owner = named[0]
-        for m in _CALL.finditer(line):
-            if m[1] not in _NO_CALL and not (named and m[1] == named[0]) and len(m[1].encode()) >= 2:
-                out.call(owner, m[1])
+        for m in re.finditer(IMPORTS[language], blanked(content, language, strings=False), re.M):
+            out.imports(m[1])
+    around: list[tuple[int, str]] = []  # functions that are open, the innermost last
+    functions = iter([at for at in places if found[at][1] != "class"])
+    ahead = next(functions, None)
+    for m in _CALL.finditer(code):
+        while ahead is not None and ahead < m.start():
+            around.append((_end(code, ahead, language), found[ahead][0]))
+            ahead = next(functions, None)
+        while around and around[-1][0] <= m.start():
+            around.pop()
+        if (m[1] not in _NO_CALL or m[1] in names) and m.start() not in found and len(m[1].encode()) >= 2:
+            out.call(around[-1][1] if around else "global", m[1])
 
 
 def _plain(out: _File, content: str) -> None:
@@ -235,9 +305,8 @@ def facts(files: DataFrame) -> DataFrame:
 
 
 def graph_of(found: DataFrame) -> Graph:
-    """The graph of facts; files come in the order of their paths' hashes, so no global sort is needed."""
-    place = (F.xxhash64("source_file").bitwiseAND(F.lit((1 << 42) - 1)) * F.lit(1 << 20)) + F.col("ord")
-    placed = found.withColumn("ord", place)
+    """The graph of facts, in the order of paths and of places within a file."""
+    placed = cut(numbered(found.withColumnRenamed("ord", "own"), "ord", "source_file", "own"))
     return Graph(conform(placed.filter("what = 'node'"), NODE), conform(placed.filter("what = 'edge'"), EDGE))
 
 

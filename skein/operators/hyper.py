@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension, file_stem, last_dir, parent
 from ..plans.graph import INFERRED, Graph
-from ..plans.session import cut
+from ..plans.session import cut, numbered
 
 LEAST, MOST, LEAST_SCORE = 3, 20, 0.3
 CONFIG = ("dockerfile", "json", "tf", "toml", "yaml", "yml")
@@ -24,16 +24,32 @@ def group_cohesion(groups: DataFrame, edges: DataFrame) -> DataFrame:
     return groups.select("g").join(score, "g", "left").select("g", F.coalesce("score", F.lit(0.5)).alias("score"))
 
 
-def _grouped(graph: Graph, key: Column, keep: Column, least: int, most: int | None, id_: Column, label: Column, relation: str, rank: int, extra: Column | None = None) -> DataFrame:
+def chain_cohesion(chains: DataFrame, graph: Graph) -> DataFrame:
+    """``c, score`` of chains ``c, nodes``: the share of their steps that are edges, in either direction, and 0.1 more if the first and
+    the last node are of one file, at most 1; 0.5 for chains of fewer than two nodes."""
+    n = F.size("nodes")
+    steps = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct(F.element_at("nodes", i).alias("x"), F.element_at("nodes", i + 1).alias("y"))))
+    e = graph.edges.select(F.least("source", "target").alias("lo"), F.greatest("source", "target").alias("hi")).distinct().withColumn("there", F.lit(1))
+    step = chains.select("c", F.explode(steps).alias("s")).select("c", F.least("s.x", "s.y").alias("lo"), F.greatest("s.x", "s.y").alias("hi"))
+    share = step.join(e, ["lo", "hi"], "left").groupBy("c").agg((F.count("there") / F.count("*")).alias("share"))
+    file = graph.nodes.groupBy("id").agg(F.min_by("source_file", "ord").alias("f"))
+    ends = chains.filter(n > 1).select("c", F.element_at("nodes", 1).alias("first"), F.element_at("nodes", -1).alias("last"))
+    ends = ends.join(file.select(F.col("id").alias("first"), F.col("f").alias("f1")), "first").join(file.select(F.col("id").alias("last"), F.col("f").alias("f2")), "last")
+    scored = chains.select("c").join(share, "c", "left").join(ends.select("c", (F.col("f1") == F.col("f2")).alias("same")), "c", "left")
+    bonus = F.when(F.col("same"), 0.1).otherwise(0.0)
+    return scored.select("c", F.coalesce(F.least(F.col("share") + bonus, F.lit(1.0)), F.lit(0.5)).alias("score"))
+
+
+def _grouped(graph: Graph, key: Column, keep: Column, least: int, most: int, id_: Column, label: Column, relation: str, rank: int, extra: Column | None = None) -> DataFrame:
+    """Groups by a key.  Only those of ``least`` to ``most`` nodes are collected; larger ones are no more than counted."""
     n = graph.nodes.withColumn("g", key).filter(keep)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"])
-    size = F.count("*")
-    g = n.groupBy("g").agg(size.alias("n"), F.min("ord").alias("ord"), F.min_by("source_file", "ord").alias("source_file"), F.count_distinct(parent("source_file")).alias("dirs"), F.when(size <= (most or 2**31 - 1), ids).alias("nodes"))
-    g = g.filter(F.col("n") >= least)
-    if most is not None:
-        g = g.filter(F.col("n") <= most)
+    g = n.groupBy("g").agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.min_by("source_file", "ord").alias("source_file"), F.count_distinct(parent("source_file")).alias("dirs"))
+    g = g.filter(F.col("n").between(least, most))
     if extra is not None:
         g = g.filter(extra)
+    g = cut(g)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"])
+    g = g.join(n.join(g.select("g"), "g", "left_semi").groupBy("g").agg(ids.alias("nodes")), "g")
     scored = g.join(group_cohesion(g, graph.edges), "g")
     return scored.select(id_.alias("id"), label.alias("label"), "nodes", F.lit(relation).alias("relation"), F.lit(INFERRED).alias("confidence"), F.col("score").alias("confidence_score"), "source_file", F.lit(rank).alias("rank"), "ord")
 
@@ -84,23 +100,25 @@ def call_chains(graph: Graph, most: int = MOST, max_rows: int = 50_000_000) -> D
 
 
 def chain_candidates(graph: Graph, **options) -> DataFrame:
-    """Chains as candidates; each step is an edge, so their cohesion is 1.  ``ord`` is a chain's place in the search order."""
-    chains = call_chains(graph, **options)
+    """Chains as candidates; each step is an edge, so their cohesion is 1.  ``chain_<n>`` and ``ord`` are a chain's place in the search order."""
+    chains = numbered(call_chains(graph, **options), "n", "key", "nodes")
     # one per member set is all that later dedup keeps: the first in search order
     members = F.array_join(F.array_sort("nodes"), "|")
-    first = chains.groupBy(members.alias("m")).agg(F.min(F.struct("key", "nodes", "source_file")).alias("x")).select("x.*")
-    return first.select(F.concat(F.lit("chain_"), F.array_join("nodes", ">")).alias("id"), F.concat(F.lit("Flow: "), F.array_join("nodes", " → ")).alias("label"), "nodes", F.lit("flow").alias("relation"), F.lit(INFERRED).alias("confidence"), F.lit(1.0).alias("confidence_score"), "source_file", F.lit(1).alias("rank"), F.element_at("key", 1).alias("ord"))
+    first = chains.groupBy(members.alias("m")).agg(F.min(F.struct("n", "nodes", "source_file")).alias("x")).select("x.*")
+    return first.select(F.concat(F.lit("chain_"), "n").alias("id"), F.concat(F.lit("Flow: "), F.array_join("nodes", " → ")).alias("label"), "nodes", F.lit("flow").alias("relation"), F.lit(INFERRED).alias("confidence"), F.lit(1.0).alias("confidence_score"), "source_file", F.lit(1).alias("rank"), F.col("n").alias("ord"))
 
 
 def process(candidates: DataFrame) -> DataFrame:
-    """The first candidate of each set of members, if its score is at least 0.3 and it has 3 to 20; by score, then kind, then order."""
+    """The first candidate of each set of members, if its score is at least 0.3 and it has 3 to 20.  ``ord`` is its place by score, the highest
+    first, then kind, then the kind's own order; of equals, by id."""
     w = Window.partitionBy(F.array_join(F.array_sort("nodes"), "|")).orderBy("rank", "ord", "id")
     kept = candidates.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    return kept.filter((F.col("confidence_score") >= LEAST_SCORE) & F.size("nodes").between(LEAST, MOST))
+    kept = kept.filter((F.col("confidence_score") >= LEAST_SCORE) & F.size("nodes").between(LEAST, MOST))
+    return numbered(kept.withColumnRenamed("ord", "own"), "ord", F.desc("confidence_score"), "rank", "own", "id").select(*[c for c in candidates.columns])
 
 
 def detect(graph: Graph, chains: bool = True) -> DataFrame:
-    """Hyperedges of all four kinds.  ``ord`` keeps each kind's own order within ``rank``."""
+    """Hyperedges of all four kinds, ranked as in ``process``."""
     found = file_groups(graph)
     if chains:
         found = found.union(chain_candidates(graph))

@@ -52,17 +52,19 @@ def bfs(graph: Graph, starts: DataFrame, depth: int = 3, include_reverse: bool =
     lead to new nodes.
 
     For every link from a node of a level to a node not yet seen the first edge in that direction counts; links that only exist the other way are
-    followed but give no edge, unless ``include_reverse``.  All levels make one plan."""
-    adj, edges = graph.adjacent, graph.edges
+    followed but give no edge, unless ``include_reverse``.  The starts and the edges are cut once, and so is each level, so none is planned
+    again by the next; a level is one join of its new nodes, each once, with the links."""
+    edges = cut(graph.edges)
+    starts, adj = cut(starts.select("id").distinct()), Graph(graph.nodes, edges).adjacent
     w = Window.partitionBy("source", "target").orderBy("ord")
     forward = edges.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    seen = starts.select("id").distinct().withColumn("level", F.lit(0))
-    front, met = seen.select("id"), None
+    seen = starts.withColumn("level", F.lit(0))
+    front, met = starts, None
     for d in range(1, depth + 1):
-        step = front.join(adj, front["id"] == adj["a"]).select("a", "b", "pos").join(seen.select("id"), F.col("b") == F.col("id"), "left_anti")
-        step = cut(step)
+        step = adj.join(front, F.col("a") == F.col("id"), "left_semi").join(seen.select("id"), F.col("b") == F.col("id"), "left_anti")
+        step = cut(step.select("a", "b"))
         met = step if met is None else met.union(step)
-        front = step.select(F.col("b").alias("id")).distinct()
+        front = cut(step.select(F.col("b").alias("id")).distinct())
         seen = seen.union(front.withColumn("level", F.lit(d)))
     if met is None:
         return seen, edges.limit(0)

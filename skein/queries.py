@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,20 @@ from .operators.report import report_lines
 from .plans.graph import Graph
 from .plans.session import cut
 from .sources import files as S
-from .sources.tables import sessions, sessions_raw, source_files, table, trade, web
+from .sources import cache as K
+from .sources.tables import histories, sessions, sessions_raw, shelves, source_files, table, trade, web
 
 CUT = "1996-01-01"
 QUESTION = "the supplier Supplier#000000007 and part near asia"
+#: Source texts by extension; @ is a number.
+SOURCES = {
+    "rs": "// fn hidden()\nstruct Box@;\nimpl Box@ {\n  fn new() -> Box@ { make@(\"fn str()\") }\n}\nfn make@(s: &str) { helper(s) }\n",
+    "go": "package p\nimport (\n  \"fmt\"\n  \"lib/u@\"\n)\nfunc Run@() {\n  fmt.Print(\"x\")\n}\nfunc Main@() { Run@() }\n",
+    "js": "import {z} from \"../lib/z@\";function aa@(){bb@()}function bb@(){cc(1)}\n/* function no() {} */\n",
+    "rb": "require \"set\"\ndef match(x)\n  grow@(x)\nend\nmatch(1) # call(2)\n",
+    "java": "import a.b.C@;\npublic class Two@ { int one@(int x) { return more(x); } int more(int y) { if (y > 0) { return 1; } return one@(2); } }\n",
+    "py": "from . import x@\nfrom a.b import c\nclass Kind@:\n    def go(self):\n        run@()\n",
+}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -100,6 +111,29 @@ on(
 )
 
 
+on(
+    shelves,
+    ("components_deep", C.components),
+    ("bfs_deep", lambda g: Q.bfs(g, g.nodes.orderBy("ord").limit(1), 3)[0].select("id", F.col("level").cast("long").alias("level"))),
+    ("shortest_path_deep", lambda g: Q.path_rows(g, *_ends(g), 8)),
+    ("cohesion_deep", Q.cohesion),
+)
+on(
+    histories,
+    ("components_histories", C.components),
+    ("call_chains_deep", lambda g: H.call_chains(g).select(F.element_at("nodes", 1).alias("first"), F.element_at("nodes", -1).alias("last"), "n_nodes", "source_file")),
+)
+
+
+def _ends(g: Graph) -> tuple[str, str]:
+    """The first part, and the one that five steps along its brand lead to."""
+    at = first = g.nodes.orderBy("ord").first()["id"]
+    for _ in range(5):
+        step = g.edges.filter((F.col("relation") == "p_brand") & (F.col("source") == at)).first()
+        at = step["target"] if step else at
+    return first, at
+
+
 def _first(g: Graph) -> str:
     return g.edges.filter("source <> target").agg(F.min("source")).first()[0]
 
@@ -109,8 +143,8 @@ def _last(g: Graph) -> str:
     return g.edges.filter(F.split_part("source", F.lit(":"), F.lit(1)) == start.split(":")[0]).agg(F.max("target")).first()[0]
 
 
-def _groups(df: DataFrame) -> DataFrame:
-    return df.select("id", "label", F.array_join(F.array_sort("nodes"), ",").alias("members"), "relation", "confidence_score")
+def _groups(df: DataFrame, *more: str) -> DataFrame:
+    return df.select("id", "label", F.array_join(F.array_sort("nodes"), ",").alias("members"), "relation", "confidence_score", *more)
 
 
 @query
@@ -235,8 +269,7 @@ def cache_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.changed(now, X.hashes(then)).select("path", "changed")
 
 
-@query
-def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classified(spark: SparkSession, sf_dir: str, ignored: list[str] = ()) -> DataFrame:
     """Paths made of parts: folders, names and extensions of many kinds."""
     p = table(spark, sf_dir, "part")
     kinds = ["py", "rs", "TS", "md", "png", "toml", "key", "exe", ""]
@@ -244,7 +277,12 @@ def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda xs, by: F.element_at(F.array(*map(F.lit, xs)), (by % len(xs) + 1).cast("int"))
     ext = pick(kinds, F.col("p_partkey"))
     rel = F.concat(pick(dirs, F.expr("p_partkey div 9")), F.when(F.col("p_partkey") % 11 == 0, "/.f").otherwise("/f"), "p_partkey", F.when(ext != "", F.concat(F.lit("."), ext)).otherwise(""))
-    return S.classify(p.select(rel.alias("path"), rel.alias("rel"))).select("path", "extension", "file_type", "skipped")
+    return S.classify(p.select(rel.alias("path"), rel.alias("rel")), ignored)
+
+
+@query
+def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir).select("path", "extension", "file_type", "skipped")
 
 
 @query
@@ -258,6 +296,81 @@ def ast_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.nodes.groupBy("node_type").agg(F.count("*").alias("n")).union(g.edges.groupBy("relation").agg(F.count("*")))
 
 
+@query
+def hyperedge_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of files and folders in their order."""
+    return _groups(H.detect(sessions(spark, sf_dir), chains=False), "ord")
+
+
+@query
+def chain_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users did, in order, as if each were a chain."""
+    g = sessions(spark, sf_dir)
+    chains = g.nodes.groupBy(F.col("source_file").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("nodes"))
+    return H.chain_cohesion(chains, g)
+
+
+@query
+def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.analyze(trade(spark, sf_dir)).rows()
+
+
+@query
+def build_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes in order and the edges of two overlapping extractions; communities, which SQL can't find, are in ``cluster``."""
+    whole = sessions(spark, sf_dir)
+    part = Graph(whole.nodes.filter("label <> 'click'").withColumn("label", F.upper("label")), whole.edges.filter("source like '%click'").withColumn("confidence", F.lit("INFERRED")))
+    g = C.build_graph(part, whole)
+    nodes = g.nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("label").alias("b"), "ord")
+    return nodes.union(g.edges.select(F.lit("edge"), F.concat("source", F.lit(">"), "target"), "confidence", "ord"))
+
+
+@query
+def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = web(spark, sf_dir)
+    return B.error_texts(Graph(g.nodes, g.edges.withColumn("confidence", F.when(F.col("ord") % 3 == 0, "LIKELY").otherwise(F.col("confidence"))))).select("kind", "id", "message")
+
+
+@query
+def sensitive_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir).filter("reason is not null").select("path", "reason")
+
+
+@query
+def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(spark, sf_dir, [P.glob_pattern("*/f*7.py"), P.glob_pattern("docs/*")]).select("path", "skipped")
+
+
+@query
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache after files of one size were added again and others removed."""
+    files = source_files(spark, sf_dir)
+    c = K.entries(files)
+    c = K.remove(K.add(c, K.entries(files.filter("length(path) % 2 = 0").withColumn("content", F.lower("content")))), files.filter("length(path) % 3 = 0"))
+    return K.stats(c)
+
+
+@query
+def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.entries(source_files(spark, sf_dir)).select("path", "hash", "size", "source_file")
+
+
+@query
+def confidence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trade(spark, sf_dir).edges.groupBy("confidence", "confidence_score").agg(F.count("*").alias("n"))
+
+
+@query
+def extract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and edges of one generated file of each of six languages for each type of part."""
+    p = table(spark, sf_dir, "part").groupBy("p_type").agg(F.min("p_partkey").alias("k"))
+    of = lambda language: [F.lit(x) if x != "@" else F.col("k").cast("string") for x in re.split("(@)", SOURCES[language]) if x]
+    made = F.array(*(F.struct(F.concat(F.lit(f"f_{x}_"), "k", F.lit(f".{x}")).alias("path"), F.concat(*of(x)).alias("content")) for x in SOURCES))
+    g = X.graph_of(cut(X.facts(p.select(F.explode(made).alias("x")).select("x.*"))))
+    nodes = g.nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("node_type").alias("b"), F.col("source_location").alias("c"))
+    return nodes.union(g.edges.select(F.lit("edge"), "source", "target", F.concat_ws(" ", "relation", "confidence")))
+
+
 @query
 def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cluster(sessions(spark, sf_dir)).nodes.select("id", "community")

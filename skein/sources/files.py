@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import count_words, extension, file_name, glob_pattern
@@ -48,8 +48,15 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, FILES)
 
 
+def sensitive_reason(path) -> Column:
+    """Which part of a path looks like a secret, null if none does: the first in the order of the list."""
+    hits = [F.when(F.col(path).rlike(s.replace(".", r"\.")), F.lit(f"has '{s}'")) for s in SECRET] + [F.when(F.col(path).rlike(rf"\.{s}$"), F.lit(f"ends in '.{s}'")) for s in SECRET_ENDS]
+    return F.coalesce(*hits)
+
+
 def classify(files: DataFrame, ignored: list[str] = ()) -> DataFrame:
-    """``files`` (with ``path`` and ``rel``) plus ``extension, file_type, skipped``: why a file is left out, null if it isn't.
+    """``files`` (with ``path`` and ``rel``) plus ``extension, file_type, skipped, reason``: why a file is left out, null if it isn't, and what
+    makes its path sensitive if that is why.
 
     File types are code, markdown and binary.  Left out are, in this order, hidden files, those in noise folders, ignored
     ones, those whose path looks like a secret, and those without an extension."""
@@ -62,7 +69,7 @@ def classify(files: DataFrame, ignored: list[str] = ()) -> DataFrame:
         skip = skip.when(F.col("rel").rlike(pattern) | name.rlike(pattern), "ignored")
     skip = skip.when(F.col("path").rlike(SENSITIVE), "sensitive").when(ext == "", "no extension")
     kind = F.when(ext.isin(*CODE), "code").when(ext.isin(*MARKDOWN), "markdown").otherwise("binary")
-    return files.withColumns({"extension": ext, "file_type": kind, "skipped": skip})
+    return files.withColumns({"extension": ext, "file_type": kind, "skipped": skip}).withColumn("reason", F.when(F.col("skipped") == "sensitive", sensitive_reason("path")))
 
 
 def detect(spark: SparkSession, root: str) -> DataFrame:
@@ -76,11 +83,14 @@ def stats(files: DataFrame) -> DataFrame:
 
 
 def read(files: DataFrame) -> DataFrame:
-    """``path, content``: text of files, null where it isn't UTF-8 or can't be read.  Executors read the files where they are."""
+    """``path, content``: text of files, null where it isn't UTF-8 or mayn't be read.  Executors read the files where they are; one that
+    isn't there fails the job, since a cluster without a shared file system would otherwise give an empty graph."""
 
     def text(path: str) -> str | None:
         try:
             return Path(path).read_bytes().decode()
+        except FileNotFoundError as e:
+            raise FileNotFoundError(f"{path} was listed but can't be seen by an executor: it was removed, or the folder isn't shared") from e
         except (OSError, UnicodeDecodeError):
             return None
 

@@ -67,6 +67,29 @@ def sessions(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(conform(nodes, NODE), conform(edges, EDGE))
 
 
+def shelves(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts, each linked to the next of its brand and to the next of its type: one large component with long paths."""
+    p = table(spark, sf_dir, "part")
+    nodes = _nodes(p, "part", 0, "p_partkey", "p_name", F.concat(F.lit("shelf/"), "p_brand", F.lit("/"), "p_type", F.lit(".tbl")), F.regexp_extract("p_brand", "([0-9]+)$", 1))
+
+    def chain(by: str, rank: int) -> DataFrame:
+        after = F.lead("p_partkey").over(Window.partitionBy(by).orderBy("p_partkey"))
+        e = p.select("p_partkey", after.alias("next")).filter("next is not null")
+        return e.select(F.concat(F.lit("part:"), "p_partkey").alias("source"), F.concat(F.lit("part:"), "next").alias("target"), F.lit(by).alias("relation"), F.lit(EXTRACTED).alias("confidence"), F.lit(1.0).alias("confidence_score"), F.lit("").alias("source_file"), (F.lit(rank * T) + F.col("p_partkey")).alias("ord"))
+
+    return Graph(conform(nodes, NODE), conform(chain("p_brand", 0).union(chain("p_type", 1)), EDGE))
+
+
+def histories(spark: SparkSession, sf_dir: str) -> Graph:
+    """Orders, each of which leads to the next of its customer: paths of some dozens of nodes."""
+    o = table(spark, sf_dir, "orders")
+    nodes = o.select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"), F.concat(F.lit("customers/c"), "o_custkey", F.lit(".log")).alias("source_file"), F.lit("").alias("source_location"), F.col("o_custkey").cast("int").alias("community"), F.lit("order").alias("node_type"), F.col("o_orderkey").alias("ord"))
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    e = o.select("o_orderkey", after.alias("next")).filter("next is not null")
+    edges = e.select(F.concat(F.lit("o"), "o_orderkey").alias("source"), F.concat(F.lit("o"), "next").alias("target"), F.lit("calls").alias("relation"), F.lit(EXTRACTED).alias("confidence"), F.lit(1.0).alias("confidence_score"), F.lit("").alias("source_file"), F.col("o_orderkey").alias("ord"))
+    return Graph(conform(nodes, NODE), conform(edges, EDGE))
+
+
 def web(spark: SparkSession, sf_dir: str) -> Graph:
     """Pages and what they link to; link targets have no node."""
     p = table(spark, sf_dir, "pages")

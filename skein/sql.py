@@ -7,7 +7,7 @@ from .operators.analyze import NOISE, STRUCTURAL, WHY
 from .operators.extract import KEYWORDS, REASONS
 from .operators.query import terms
 from .queries import CUT, QUESTION
-from .sources.files import CODE, MARKDOWN, NOISE_DIRS, SENSITIVE
+from .sources.files import CODE, MARKDOWN, NOISE_DIRS, SECRET, SECRET_ENDS, SENSITIVE
 
 T = 10**12
 W = r"[\p{L}\p{N}_]+"
@@ -131,13 +131,35 @@ terms AS (SELECT community, unnest(list_concat(p, list_transform(h[1:len(h) - 1]
 words AS (SELECT community, x, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, x) AS r FROM terms WHERE strlen(x) > 3 AND x NOT IN {_in(NOISE)} GROUP BY community, x)"""
 
 
+SHELVES = f"""WITH RECURSIVE nodes AS MATERIALIZED (SELECT 'part:' || p_partkey AS id, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) AS community, p_brand, p_type, CAST(p_partkey AS BIGINT) AS ord FROM part),
+edges AS MATERIALIZED (SELECT id AS source, next AS target, k * {T} + ord AS ord FROM (SELECT id, ord, 0 AS k, lead(id) OVER (PARTITION BY p_brand ORDER BY ord) AS next FROM nodes UNION ALL SELECT id, ord, 1, lead(id) OVER (PARTITION BY p_type ORDER BY ord) FROM nodes) WHERE next IS NOT NULL)"""
+SHELF_ENDS = "start AS (SELECT (SELECT id FROM nodes ORDER BY ord LIMIT 1) AS s, (SELECT id FROM nodes WHERE p_brand = (SELECT p_brand FROM nodes ORDER BY ord LIMIT 1) ORDER BY ord LIMIT 1 OFFSET 5) AS t)"
+WALKS = """walks(path, keys) AS (SELECT [s], []::BIGINT[] FROM start UNION ALL SELECT list_append(path, b), list_append(keys, pos) FROM walks JOIN adj ON a = path[-1], start WHERE NOT list_contains(path, b) AND NOT list_contains(path, t) AND len(path) <= 8),
+            won AS (SELECT path FROM walks, start WHERE path[-1] = t ORDER BY len(path), keys LIMIT 1) SELECT CAST(generate_subscripts(path, 1) - 1 AS BIGINT) AS pos, unnest(path) AS id FROM won"""
+HISTORY = "WITH seq AS (SELECT 'o' || o_orderkey AS id, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)"
+#: What ``extract_edges`` finds in each source: $ is the file's stem, @ the number.
+FACTS = [
+    ("rs", "node", "$:Box@", "class", "L2"), ("rs", "node", "$:new", "function", "L4"), ("rs", "node", "$:make@", "function", "L6"), ("rs", "node", "$:helper", "function", "L?"),
+    ("rs", "edge", "$:new", "$:make@", "calls EXTRACTED"), ("rs", "edge", "$:make@", "$:helper", "calls INFERRED"),
+    ("go", "node", "$:Run@", "function", "L6"), ("go", "node", "$:Main@", "function", "L9"), ("go", "node", "$:Print", "function", "L?"), ("go", "edge", "$", "fmt", "imports EXTRACTED"), ("go", "edge", "$", "lib_u@", "imports EXTRACTED"),
+    ("go", "edge", "$:Run@", "$:Print", "calls INFERRED"), ("go", "edge", "$:Main@", "$:Run@", "calls EXTRACTED"),
+    ("js", "node", "$:aa@", "function", "L1"), ("js", "node", "$:bb@", "function", "L1"), ("js", "node", "$:cc", "function", "L?"), ("js", "edge", "$", "lib_z@", "imports EXTRACTED"), ("js", "edge", "$:aa@", "$:bb@", "calls EXTRACTED"), ("js", "edge", "$:bb@", "$:cc", "calls INFERRED"),
+    ("rb", "node", "$:match", "function", "L2"), ("rb", "node", "$:grow@", "function", "L?"), ("rb", "node", "$:global", "function", "L?"), ("rb", "edge", "$", "set", "imports EXTRACTED"), ("rb", "edge", "$:match", "$:grow@", "calls INFERRED"), ("rb", "edge", "$:global", "$:match", "calls EXTRACTED"),
+    ("java", "node", "$:Two@", "class", "L2"), ("java", "node", "$:one@", "function", "L2"), ("java", "node", "$:more", "function", "L2"), ("java", "edge", "$", "a_b_c@", "imports EXTRACTED"), ("java", "edge", "$:one@", "$:more", "calls EXTRACTED"), ("java", "edge", "$:more", "$:one@", "calls EXTRACTED"),
+    ("py", "node", "$:Kind@", "class", "L3"), ("py", "node", "$:go", "function", "L4"), ("py", "node", "$:run@", "function", "L?"), ("py", "edge", "$", "x@", "imports_from EXTRACTED"), ("py", "edge", "$", "a_b", "imports_from EXTRACTED"), ("py", "edge", "$", "c", "imports_from EXTRACTED"),
+    ("py", "edge", "$:go", "$:run@", "calls INFERRED"),
+]
+_filled = lambda c: f"replace(replace({c}, '$', 'f_' || x || '_' || k), '@', k) AS {c}"
+_REASONS = [f"WHEN regexp_matches(path, '{x.replace('.', '[.]') if x == 'service.account' else x}') THEN 'has ''{x}'''" for x in SECRET] + [f"WHEN ends_with(path, '.{x}') THEN 'ends in ''.{x}'''" for x in SECRET_ENDS]
+
+
 def oracle_sql() -> dict[str, str]:
     counts = "count(*) FILTER (confidence = 'EXTRACTED') AS extracted, count(*) FILTER (confidence = 'INFERRED') AS inferred, count(*) FILTER (confidence = 'AMBIGUOUS') AS ambiguous"
     stub = "(ends_with(label, '()') AND (starts_with(label, '.') OR i.degree <= 1))"
     gods = f"SELECT n.id, label, e.degree FROM nodes n JOIN ends e ON e.id = n.id JOIN incident i ON i.id = n.id WHERE NOT ({FILE_NODE}) AND NOT {stub} ORDER BY e.degree DESC, n.id LIMIT 10"
     best = "SELECT id FROM scores ORDER BY score DESC, ord LIMIT 3"
     details = "SELECT '{0}' AS direction, e.{2} AS id, e.{2}_label AS label, relation, upper(confidence[1]) || lower(confidence[2:]) AS confidence FROM named e WHERE e.{1} = {3}"
-    return {
+    out = {
         "query_subgraph": f"{TRADE}, {SCORES}, {ADJ}, {INCIDENT}, {bfs(best, 2)} SELECT s.id, label, source_file, CAST(level AS BIGINT) AS level, degree FROM seen2 s JOIN nodes USING (id) JOIN incident USING (id)",
         "graph_stats": f"{TRADE}, {INCIDENT} SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(DISTINCT community) FROM nodes) AS communities, count(*) AS total_edges, {counts}, CAST((SELECT round(sum(degree) / count(*) * 100) / 100 FROM incident) AS DOUBLE) AS avg_degree FROM edges",
         "confidence_stats": f"{TRADE} SELECT {counts} FROM edges",
@@ -204,6 +226,32 @@ def oracle_sql() -> dict[str, str]:
         "cache_changed": f"WITH {FILES}, {CHANGED} SELECT f.path, t.path IS NULL OR {HASH.format('f.content', 'f.path')} <> {HASH.format('t.content', 't.path')} AS changed FROM files f LEFT JOIN past t ON t.path = f.path",
         "classify_files": f"{CLASSIFIED} SELECT * FROM classified",
         "file_stats": f"{CLASSIFIED} SELECT count(*) AS total, count(*) FILTER (file_type = 'code') AS code, count(*) FILTER (file_type = 'markdown') AS markdown, count(*) FILTER (file_type = 'binary') AS binary FROM classified WHERE skipped IS NULL",
+        "components_deep": f"{SHELVES}, links AS (SELECT DISTINCT p_brand, p_type FROM nodes), reach(b, o) AS (SELECT p_brand, p_brand FROM links UNION SELECT r.b, m.p_brand FROM reach r JOIN links l ON l.p_brand = r.o JOIN links m ON m.p_type = l.p_type) SELECT id, root FROM nodes JOIN (SELECT b, min(n.id) AS root FROM reach JOIN nodes n ON n.p_brand = o GROUP BY b) ON b = p_brand",
+        "bfs_deep": f"{SHELVES}, {ADJ}, {bfs('SELECT id FROM (SELECT id FROM nodes ORDER BY ord LIMIT 1)', 3)} SELECT id, CAST(level AS BIGINT) AS level FROM seen3",
+        "shortest_path_deep": f"{SHELVES}, {ADJ}, {SHELF_ENDS}, {WALKS}",
+        "cohesion_deep": f"{SHELVES}, {COHESION} SELECT * FROM cohesion",
+        "components_histories": "SELECT 'o' || o_orderkey AS id, min('o' || o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM orders",
+        "call_chains_deep": f"{HISTORY} SELECT a.id AS first, b.id AS last, b.n - a.n + 1 AS n_nodes, 'customers/c' || a.c || '.log' AS source_file FROM seq a JOIN seq b ON a.c = b.c AND b.n - a.n BETWEEN 2 AND 19",
+        "hyperedge_ranking": f"""{SESSIONS}, {FILE_GROUPS}, {DIR_GROUPS}, sets AS (SELECT id, label, array_to_string(list_sort(nodes), ',') AS members, len(nodes) AS n, relation, CAST(confidence_score AS DOUBLE) AS confidence_score, rank, ord FROM (SELECT * FROM found_0 UNION ALL SELECT * FROM found_3)),
+            kept AS (SELECT * FROM sets QUALIFY row_number() OVER (PARTITION BY members ORDER BY rank, ord, id) = 1) SELECT id, label, members, relation, confidence_score, row_number() OVER (ORDER BY confidence_score DESC, rank, ord, id) - 1 AS ord FROM kept WHERE confidence_score >= 0.3 AND n BETWEEN 3 AND 20""",
+        "chain_cohesion": f"""{SESSIONS}, links AS (SELECT DISTINCT least(source, target) AS lo, greatest(source, target) AS hi FROM edges), walk AS (SELECT source_file AS c, id, lead(id) OVER (PARTITION BY source_file ORDER BY ord) AS nxt FROM nodes)
+            SELECT c, CAST(CASE WHEN count(nxt) = 0 THEN 0.5 ELSE least(CAST(count(lo) AS DOUBLE) / count(nxt) + 0.1::DOUBLE, 1.0::DOUBLE) END AS DOUBLE) AS score FROM walk LEFT JOIN links ON lo = least(id, nxt) AND hi = greatest(id, nxt) AND nxt IS NOT NULL GROUP BY c""",
+        "build_graph": f"""{SESSIONS} SELECT 'node' AS what, id AS a, CASE WHEN label <> 'click' THEN upper(label) ELSE label END AS b, row_number() OVER (ORDER BY id) - 1 AS ord FROM nodes
+            UNION ALL SELECT 'edge', source || '>' || target, CASE WHEN ends_with(source, 'click') THEN 'INFERRED' ELSE confidence END, row_number() OVER (ORDER BY NOT ends_with(source, 'click'), ord) - 1 FROM edges""",
+        "error_texts": f"""{WEB} SELECT 'UnknownNodeReference' AS kind, target AS id, 'Edge ''' || source || ' -> ' || target || ''' references unknown node: ' || target AS message FROM edges WHERE target NOT IN (SELECT id FROM page)
+            UNION ALL SELECT 'InvalidConfidence', 'LIKELY', 'Invalid confidence value: LIKELY (not EXTRACTED, INFERRED or AMBIGUOUS)' FROM edges WHERE ord % 3 = 0""",
+        "sensitive_reasons": f"{CLASSIFIED} SELECT path, CASE {' '.join(_REASONS)} END AS reason FROM classified WHERE skipped = 'sensitive'",
+        "ignored_files": f"{CLASSIFIED} SELECT path, CASE WHEN skipped IN ('hidden', 'noise') THEN skipped WHEN regexp_matches(path, '/f[^/]*7[.]py$') OR starts_with(path, 'docs/') THEN 'ignored' ELSE skipped END AS skipped FROM classified",
+        "cache_stats": f"WITH {FILES} SELECT count(*) AS total_entries, count(DISTINCT path) AS files_by_source FROM files WHERE length(path) % 3 <> 0",
+        "cache_entries": f"WITH {FILES} SELECT path, {HASH.format('content', 'path')} AS hash, strlen(content) AS size, path AS source_file FROM files",
+        "confidence_scores": f"{TRADE} SELECT confidence, CAST(CASE confidence WHEN 'EXTRACTED' THEN 1.0 WHEN 'INFERRED' THEN 0.75 ELSE 0.2 END AS DOUBLE) AS confidence_score, count(*) AS n FROM edges GROUP BY ALL",
+        "extract_edges": f"WITH kinds AS (SELECT CAST(min(p_partkey) AS VARCHAR) AS k FROM part GROUP BY p_type), facts(x, what, a, b, c) AS (VALUES {', '.join(map(str, FACTS))}) SELECT what, {_filled('a')}, {_filled('b')}, c FROM kinds, facts",
         "questions_ambiguous": f"""{TRADE} SELECT CAST(row_number() OVER (ORDER BY ord) - 1 AS BIGINT) AS pos, 'ambiguous_edge' AS question_type, 'What is the exact relationship between `' || source_label || '` and `' || target_label || '`?' AS question, 'Edge tagged AMBIGUOUS (relation: ' || relation || ') - confidence is low.' AS why
             FROM ({LABELLED.format("edges")}) WHERE confidence = 'AMBIGUOUS' ORDER BY ord LIMIT 7""",
     }
+    sections = {
+        "god": ("id", "degree", out["god_nodes"]), "size": ("community", "size", out["community_sizes"]), "label": ("community", "label", out["community_labels"]),
+        "cohesion": ("community", "percent", f"{TRADE}, {COHESION} SELECT community, CAST(round(cohesion * 100) AS BIGINT) AS percent FROM cohesion"), "confidence": ("k", "n", f"SELECT * FROM ({out['confidence_stats']}) UNPIVOT (n FOR k IN (extracted, inferred, ambiguous))"),
+    }
+    out["analysis"] = " UNION ALL ".join(f"SELECT '{name}' AS section, CAST({k} AS VARCHAR) AS key, CAST({v} AS VARCHAR) AS value FROM ({sql})" for name, (k, v, sql) in sections.items())
+    return out

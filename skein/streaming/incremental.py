@@ -28,8 +28,9 @@ def finish(graph: Graph, chains: bool = True) -> Graph:
     return g.with_hyperedges(conform(hyper.detect(g, chains), HYPEREDGE))
 
 
-def update(spark: SparkSession, texts: DataFrame, folder: str, chains: bool = True) -> Graph:
-    """The graph in ``folder`` with the files ``path, content`` that are new or changed; their old nodes and edges go first.
+def update(spark: SparkSession, texts: DataFrame, folder: str, chains: bool = True, whole: bool = False) -> Graph:
+    """The graph in ``folder`` with the files ``path, content`` that are new or changed; their old nodes and edges go first.  If ``texts`` are
+    the ``whole`` source, what is known of other files goes as well.
 
     The folder holds Parquet tables by version, ``v<n>/nodes`` and so on, and ``v<n>/cache`` with the files' hashes; a version is
     written beside the last, so nothing that is being read is overwritten."""
@@ -47,7 +48,11 @@ def update(spark: SparkSession, texts: DataFrame, folder: str, chains: bool = Tr
     new = merge(extract.graph_of(cut(extract.facts(texts.join(now.select("path"), "path", "left_semi")))))
     if old is not None:
         plain = Graph(old.nodes.withColumn("community", F.lit(None).cast("int")), old.edges)
-        new = merge_into(plain, new, prune=now.select(F.col("path").alias("source_file")))
+        gone = now.select("path")
+        if whole:
+            deleted = cut(cache.select("path").join(texts.select("path"), "path", "left_anti"))
+            gone, cache = gone.union(deleted), cache.join(deleted, "path", "left_anti")
+        new = merge_into(plain, new, prune=gone.withColumnRenamed("path", "source_file"))
         cache = extract.upsert(cache, now)
     else:
         cache = now
@@ -64,7 +69,7 @@ def build(spark: SparkSession, root: str, out: str, chains: bool = True) -> Grap
     if code.isEmpty():
         return None
     texts = cut(files.read(code))
-    graph = update(spark, texts, str(Path(out).resolve() / "tables"), chains)
+    graph = update(spark, texts, str(Path(out).resolve() / "tables"), chains, whole=True)
     documents.to_json(graph, f"{out}/graph.json")
     n = files.words(texts.join(code.select("path", "size_bytes"), "path")).first()["words"]
     write_report(graph, f"{out}/REPORT.md", n_words=n)

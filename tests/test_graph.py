@@ -11,7 +11,7 @@ from skein.operators import build as B
 from skein.operators import cluster as C
 from skein.operators import hyper as H
 from skein.operators import query as Q
-from skein.operators.report import report_lines
+from skein.operators.report import report_lines, stats_text, summary_text
 from skein.plans.graph import EDGE, NODE, Graph, conform
 
 
@@ -243,3 +243,60 @@ def test_report_lists_all(spark):
     assert "- isolated: `shown`" in lines and "- isolated: `alone`" in lines and not [x for x in lines if x.startswith("- isolated: `__")]
     thin = [x for x in lines if x.startswith("- thin: ")]
     assert len(thin) == 2 and "(community 2, 1 nodes)" in thin[0] and "(community 3, 2 nodes)" in thin[1]
+
+
+def test_path_counts(spark):
+    """Against a literal walk with a stack that carries whole paths."""
+    rnd = random.Random(3)
+    names = [f"n{i}" for i in range(9)]
+    links = [tuple(rnd.choices(names, k=2)) for _ in range(16)]
+    total = dict.fromkeys(names, 0.0)
+    for s in names:
+        stack, seen, paths = [s], set(), {s: [[s]]}
+        while stack:
+            v = stack.pop()
+            if v in seen:
+                continue
+            seen.add(v)
+            for a, b in links:
+                w = b if a == v else a if b == v else None
+                if w is not None and w not in seen:
+                    paths.setdefault(w, []).extend([*p, w] for p in list(paths[v]))
+                    stack.append(w)
+        for w, p in paths.items():
+            if w != s:
+                total[w] += len(p)
+    got = {r.id: r.score for r in A.betweenness(graph(spark, names, links), mode="path_count").collect()}
+    assert got == pytest.approx({k: v * 2 / (8 * 7) for k, v in total.items()})
+    with pytest.raises(ValueError):
+        A.betweenness(graph(spark, names, links), mode="other")
+    with pytest.raises(ValueError):
+        A.betweenness(graph(spark, names, links), held=3)
+
+
+def test_chain_cohesion_and_ranking(spark):
+    g = graph(spark, [("a", "x.py"), ("b", "x.py"), ("c", "y.py"), ("d", "x.py")], [("a", "b"), ("c", "b"), ("c", "d")])
+    chains = spark.createDataFrame([("1", ["a", "b", "c"]), ("2", ["a", "c", "d"]), ("3", ["a"]), ("4", []), ("5", ["a", "c"]), ("6", ["a", "b", "c", "d"]), ("7", ["b", "d", "c", "a"])], "c string, nodes array<string>")
+    got = {r.c: r.score for r in H.chain_cohesion(chains, g).collect()}
+    assert got == pytest.approx({"1": 1.0, "2": 0.6, "3": 0.5, "4": 0.5, "5": 0.0, "6": 1.0, "7": 1 / 3 + 0.1})
+    nodes = [(f"a{i}", "one.py") for i in range(3)] + [(f"b{i}", "two.py") for i in range(3)]
+    g = graph(spark, nodes, [("b0", "b1"), ("a0", "a1"), ("a1", "b0")])
+    ranked = H.detect(g).orderBy("ord").collect()
+    assert [r.ord for r in ranked] == list(range(len(ranked)))
+    assert [r.confidence_score for r in ranked] == sorted((r.confidence_score for r in ranked), reverse=True)
+    flows = [r for r in ranked if r.id.startswith("chain_")]
+    assert flows and ranked[0].id == flows[0].id and flows[0].nodes == ["a0", "a1", "b0"]
+
+
+def test_build_graph_and_analysis(spark):
+    one = graph(spark, [("b", "x.py"), ("a", "x.py")], [("a", "b", "calls", "INFERRED")])
+    two = graph(spark, [("c", "y.py"), ("a", "y.py")], [("a", "b"), ("b", "c")])
+    g = C.build_graph(one, two)
+    assert [(r.id, r.source_file) for r in g.nodes.orderBy("ord").collect()] == [("a", "x.py"), ("b", "x.py"), ("c", "y.py")]
+    assert [(r.source, r.target, r.confidence, r.ord) for r in g.edges.orderBy("ord").collect()] == [("a", "b", "INFERRED", 0), ("b", "c", "EXTRACTED", 1)]
+    assert all(r.community is not None for r in g.nodes.collect())
+    rows = {(r.section, r.key): r.value for r in A.analyze(g).rows().collect()}
+    assert rows["god", "b"] == "2" and rows["confidence", "inferred"] == "1"
+    assert "1. b (degree: 2)" in stats_text(g) and "--- GOD NODES ---" in summary_text(g)
+    broken = graph(spark, ["a"], [("a", "z", "calls", "SURE")])
+    assert {r.message for r in B.error_texts(broken).collect()} == {"Edge 'a -> z' references unknown node: z", "Invalid confidence value: SURE (not EXTRACTED, INFERRED or AMBIGUOUS)"}

@@ -7,6 +7,7 @@ import pytest
 from skein.__main__ import main
 from skein.functions import paths as P
 from skein.operators import extract as X
+from skein.sources import cache as K
 from skein.sources import documents as D
 from skein.sources import files as S
 from skein.streaming import incremental as I
@@ -138,3 +139,69 @@ def test_cache(spark):
     assert {r.path: r.changed for r in X.changed(new, h).collect()} == {"a": False, "b": True, "c": True}
     assert all(len(r.hash) == 64 for r in h.collect())
     assert X.upsert(h, X.hashes(new)).count() == 3
+
+
+def kept(path, text):
+    rows = X.extract_file(path, text)
+    return {r["id"] for r in rows if r["what"] == "node"}, {(r["source"], r["relation"], r["target"]) for r in rows if r["what"] == "edge"}
+
+
+def test_comments_strings_and_places():
+    nodes, edges = kept("a.rs", "// fn fake()\nfn new<'a>(x: &'a str) -> u8 { let c = 'x'; say(\"call(x)\"); 1 }\nfn deep() { fn inner() { low(); } high(); }\nlet s = r#\"fn no() \"#;\n")
+    assert not {"a:fake", "a:no", "a:call"} & nodes and {"a:new", "a:deep", "a:inner"} <= nodes
+    assert {("a:new", "calls", "a:say"), ("a:inner", "calls", "a:low"), ("a:deep", "calls", "a:high")} == {e for e in edges if e[1] == "calls"}
+    nodes, edges = kept("b.js", 'function aa(){bb()}function bb(){cc(1)}var s="function str(){}";class Qq{ mm(){ if (x) { dd() } } }')
+    assert {"b:aa", "b:bb", "b:Qq", "b:mm"} <= nodes and not {"b:str", "b:if"} & nodes
+    assert ("b:mm", "calls", "b:dd") in edges and ("b:aa", "calls", "b:bb") in edges
+    nodes, edges = kept("c.go", 'import (\n  "fmt"\n)\nfunc Run() { fmt.Print("x(y)") }\n')
+    assert nodes == {"c:Run", "c:Print"} and ("c", "imports", "fmt") in edges
+    nodes, edges = kept("d.rb", "def match(x)\n  foo(x)\nend\nbar(1) # baz(2)\n")
+    assert ("d:match", "calls", "d:foo") in edges and ("d:global", "calls", "d:bar") in edges and "d:baz" not in nodes
+    _, edges = kept("e.py", "from . import x\nfrom a.b import c\nfrom q import *\n")
+    assert {t for _, _, t in edges} == {"x", "a_b", "c", "q"}
+    assert [X.module_id(m) for m in ("./util", "../lib/z", "../../a.b", "..x")] == ["util", "lib_z", "a_b", "x"]
+
+
+def test_long_reasons_are_cut_alike(spark):
+    text = "# NOTE: " + "ü" * 150 + "\n"
+    column = X.rationale_lines(spark.createDataFrame([("a.py", text)], "path string, content string")).first()["text"]
+    (label,) = [r["label"] for r in X.extract_file("a.py", text) if r["what"] == "node"]
+    assert column == label == "ü" * 98 + "..."
+
+
+def test_deleted_files_go(spark, tree, tmp_path):
+    out = str(tmp_path / "out")
+    I.build(spark, str(tree), out)
+    (tree / "src/shop.py").unlink()
+    again = I.build(spark, str(tree), out)
+    assert not [r for r in again.nodes.collect() if r.source_file.endswith("src/shop.py")]
+    with pytest.raises(Exception, match="can't be seen"):
+        S.read(spark.createDataFrame([("/none/x.py",)], "path string")).collect()
+
+
+def test_file_cache(spark, tmp_path):
+    folder = str(tmp_path / "files")
+    files = spark.createDataFrame([("a", "x"), ("b", "y")], "path string, content string")
+    assert K.load(spark, folder).count() == 0
+    K.save(K.entries(files), folder)
+    c = K.add(K.load(spark, folder), K.entries(spark.createDataFrame([("b", "z"), ("c", "w")], "path string, content string")))
+    K.save(K.remove(c, files.filter("path = 'a'")), folder)
+    now = K.load(spark, folder)
+    assert sorted(r.path for r in now.collect()) == ["b", "c"] and K.stats(now).first().total_entries == 2
+    assert K.clear(spark, folder) == 2 and K.load(spark, folder).count() == 0
+
+
+def test_extraction_cache(spark, tmp_path):
+    folder = str(tmp_path / "kept")
+    files = spark.createDataFrame([("a.py", "def aa():\n  bb()\n"), ("b.py", "def cc():\n  pass\n"), ("c.py", "")], "path string, content string")
+    none, missing = K.load_extractions(files, folder)
+    assert none.nodes.count() == 0 and missing.count() == 3
+    g = X.graph_of(X.facts(files))
+    assert K.save_extractions(g, files, folder) == 2
+    assert K.save_extractions(g, files, folder) == 2  # again: the latest counts, nothing comes twice
+    back, missing = K.load_extractions(files, folder)
+    assert [r.path for r in missing.collect()] == ["c.py"]
+    assert sorted(r.id for r in back.nodes.collect()) == ["a:aa", "a:bb", "b:cc"] and back.edges.count() == g.edges.count() and back.hyperedges.count() == 0
+    changed = spark.createDataFrame([("a.py", "def aa():\n  pass\n")], "path string, content string")
+    assert K.load_extractions(changed, folder)[1].count() == 1
+    assert K.clear(spark, folder) == 6
