@@ -37,7 +37,7 @@ def chain_cohesion(chains: DataFrame, graph: Graph) -> DataFrame:
     ends = ends.join(file.select(F.col("id").alias("first"), F.col("f").alias("f1")), "first").join(file.select(F.col("id").alias("last"), F.col("f").alias("f2")), "last")
     scored = chains.select("c").join(share, "c", "left").join(ends.select("c", (F.col("f1") == F.col("f2")).alias("same")), "c", "left")
     bonus = F.when(F.col("same"), 0.1).otherwise(0.0)
-    return scored.select("c", F.coalesce(F.least(F.col("share") + bonus, F.lit(1.0)), F.lit(0.5)).alias("score"))
+    return scored.select("c", F.when(F.col("share").isNull(), 0.5).otherwise(F.least(F.col("share") + bonus, F.lit(1.0))).alias("score"))
 
 
 def _grouped(graph: Graph, key: Column, keep: Column, least: int, most: int, id_: Column, label: Column, relation: str, rank: int, extra: Column | None = None) -> DataFrame:

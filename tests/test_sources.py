@@ -169,12 +169,11 @@ def test_long_reasons_are_cut_alike(spark):
     assert column == label == "ü" * 98 + "..."
 
 
-def test_deleted_files_go(spark, tree, tmp_path):
-    out = str(tmp_path / "out")
-    I.build(spark, str(tree), out)
-    (tree / "src/shop.py").unlink()
-    again = I.build(spark, str(tree), out)
-    assert not [r for r in again.nodes.collect() if r.source_file.endswith("src/shop.py")]
+def test_deleted_files_go(spark, tmp_path):
+    both = spark.createDataFrame([("a.py", "def aa():\n  pass\n"), ("b.py", "def bb():\n  pass\n")], "path string, content string")
+    I.update(spark, both, str(tmp_path), chains=False, whole=True)
+    again = I.update(spark, both.filter("path = 'b.py'"), str(tmp_path), chains=False, whole=True)
+    assert [r.id for r in again.nodes.collect()] == ["b:bb"]
     with pytest.raises(Exception, match="can't be seen"):
         S.read(spark.createDataFrame([("/none/x.py",)], "path string")).collect()
 
