@@ -60,24 +60,6 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, U)]).view(np.int64)))
 
 
-class Groups:
-    """Union by least index."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
-
-
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> float:
     """Jaccard similarity as seen in the bottom-k sketch of the union, made from both sketches."""
     u = np.union1d(a, b)[:k]
@@ -90,34 +72,65 @@ def exact(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def group_block(sets: list[np.ndarray], k: int, threshold: float, estimate: float) -> list[int]:
+def group_block(sets: list[np.ndarray], k: int, threshold: float, estimate: float, rounds: int = 4) -> list[int]:
     """For each set the least index of its group; groups are connected by pairs of at least the threshold.
 
     Inverted lists of the sketches give overlaps, the union sketch filters, exact Jaccard verifies.  A pair whose sets are already
-    in one group needs no verifying."""
+    in one group needs no verifying.  First, in a few rounds, each set is verified with one other: of the sets that come first in its
+    lists, in an order drawn anew, the one that does so in most.  Lists of which all sets are in one group then have no pair
+    left and go, so that near copies of each other cost as much as they are many; every pair of the other lists is compared."""
     n = len(sets)
-    groups = Groups(n)
+    root = np.arange(n)
     sketch = [s[:k] for s in sets]
-    size = np.array([len(s) for s in sketch])
-    owner = np.repeat(np.arange(n), size)
-    values, code = np.unique(np.concatenate(sketch), return_inverse=True)
+    size, whole = np.array([len(s) for s in sketch]), np.array([len(s) for s in sets])
+    posting = np.repeat(np.arange(n), size)
+    _, code = np.unique(np.concatenate(sketch), return_inverse=True)
     order = np.argsort(code, kind="stable")
-    posting = owner[order]
-    begin = np.searchsorted(code[order], np.arange(len(values) + 1))
-    row = np.concatenate(([0], np.cumsum(size)))
+    posting, code = posting[order], code[order]
+
+    def open_lists() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The lists of sets of several groups: their sets, where each begins, and how many it has."""
+        begin = np.flatnonzero(np.diff(code, prepend=-1))
+        r = root[posting]
+        several = np.minimum.reduceat(r, begin) < np.maximum.reduceat(r, begin) if len(r) else np.zeros(0, bool)
+        count = np.diff(begin, append=len(code))
+        return np.repeat(several, count), np.cumsum(count[several]) - count[several], count[several]
+
+    def verify(a: int, j: int) -> None:
+        x, y = root[a], root[j]
+        if x != y and union_estimate(sketch[a], sketch[j], k) >= estimate and exact(sets[a], sets[j]) >= threshold:
+            root[root == max(x, y)] = min(x, y)
+
+    for turn in range(rounds + 1):
+        kept, begin, count = open_lists()
+        posting, code = posting[kept], code[kept]
+        if turn == rounds or not len(posting):
+            break
+        place = np.random.default_rng(turn).permutation(n)
+        head = np.repeat(np.argsort(place)[np.minimum.reduceat(place[posting], begin)], count)
+        apart = root[posting] != root[head]
+        pair, often = np.unique(posting[apart] * n + head[apart], return_counts=True)
+        by_set = np.lexsort((often, pair // n))
+        best = pair[by_set][np.diff(pair[by_set] // n, append=n) > 0]
+        for a, j in zip((best // n).tolist(), (best % n).tolist()):
+            verify(a, j)
+    of = np.argsort(posting, kind="stable")
+    lists, row = np.repeat(np.arange(len(begin)), count)[of], np.searchsorted(posting[of], np.arange(n + 1))
     for a in range(n - 1):
-        lists = code[row[a] : row[a + 1]]
-        lists = lists[begin[lists + 1] - begin[lists] > 1]
-        if not len(lists):
+        met = [posting[begin[i] : begin[i] + count[i]] for i in lists[row[a] : row[a + 1]].tolist()]
+        if not met:
             continue
-        met = np.concatenate([posting[begin[i] : begin[i + 1]] for i in lists.tolist()])
+        met = np.concatenate(met)
         overlap = np.bincount(met[met > a] - a, minlength=1)
         b = np.flatnonzero(overlap)
-        b = b[overlap[b] >= np.ceil(estimate * np.maximum(size[a], size[a + b]) - 1e-9)] + a
-        for j in b.tolist():
-            if groups.root(a) != groups.root(j) and union_estimate(sketch[a], sketch[j], k) >= estimate and exact(sets[a], sets[j]) >= threshold:
-                groups.join(a, j)
-    return [groups.root(i) for i in range(n)]
+        both, b = overlap[b], b + a
+        ok = (both >= np.ceil(estimate * np.maximum(size[a], size[b]) - 1e-9)) & (root[b] != root[a])
+        ok &= np.minimum(whole[a], whole[b]) >= threshold * np.maximum(whole[a], whole[b]) - 1e-9
+        if whole[a] <= k:  # sketches that are the sets tell all they have in common
+            ok &= (whole[b] > k) | (both >= threshold * (whole[a] + whole[b] - both) - 1e-9)
+        for j in b[ok].tolist():
+            verify(a, j)
+    return root.tolist()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -126,8 +139,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _rarest(sets: DataFrame, share: float) -> DataFrame:
-    """``t, v``: of the values ``v`` of each text those that other texts have too, without those that it can spare: two texts that have at
-    least ``share`` of the larger's values in common have one of what is left in common.
+    """``t, v, n, e``: of the values ``v`` of each text those that other texts have too, without those that it can spare: two texts that have at
+    least ``share`` of the larger's values in common have one of what is left in common.  A text has ``n`` values, and ``e`` of them, this
+    one and those that come after it in the common order, may be what it shares with a text of which this is the first in common.
 
     How many texts have a value is aggregated before the shuffle; a bitmap of bounded size keeps most of the values that only one
     has from meeting these counts, and the rows of a hot value are spread over tasks."""
@@ -148,20 +162,31 @@ def _rarest(sets: DataFrame, share: float) -> DataFrame:
     by_text = Window.partitionBy("t")
     need = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9))
     ranked = look_up(each, count, "v", "df", "t", held=0).withColumns({"c": F.count("*").over(by_text), "r": F.row_number().over(by_text.orderBy("df", "v"))})
-    return ranked.filter(F.col("r") <= F.col("c") - need + 1).select("t", "v")
+    return ranked.filter(F.col("r") <= F.col("c") - need + 1).select("t", "v", "n", (F.col("c") - F.col("r") + 1).alias("e"))
+
 
+def _links(lists: DataFrame, most) -> DataFrame:
+    """``a, b``: links that connect the texts that a value and their sizes allow to be near; no pairs are formed within a value.
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """``a, b``: each text and the least text that has one of its values; no pairs are formed within a value."""
-    least = lists.groupBy("v").agg(F.min("t").alias("m"), F.count("*").alias("c")).filter("c > 1")
-    return look_up(lists, cut(least), "v", "c", "t", held=0).filter("t <> m").select(F.col("t").alias("a"), F.col("m").alias("b"))
+    Whatever two near texts have in common lies, for both, at or after the first value that they share.  So each allows the other a
+    size of at most ``most``, an expression of ``n`` and ``e``, and texts that have a passage in common but are too different in size, or have too little left, aren't
+    linked by it.  A text whose own size is more than it allows can be near only to smaller ones that allow its size.  In order of the
+    sizes that each must meet, one link to the text so far that allows most does for all: whatever else allows the size allows it at the same
+    place, and was linked to that one.  A value's rows, four numbers each, are sorted in one task."""
+    sized = lists.withColumn("m", most)
+    wide = F.col("m") >= F.col("n")
+    before = Window.partitionBy("v").orderBy(F.least("m", "n"), wide.desc(), "t").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.max(F.when(wide, F.struct("m", "t"))).over(before)
+    return sized.withColumn("f", first).filter(F.col("f.m") >= F.col("n")).select(F.col("t").alias("a"), F.col("f.t").alias("b"))
 
 
 def _divided(sets: DataFrame, threshold: float) -> DataFrame:
     """``t, block`` for texts in large blocks: what their exact sets connect.  Two sets with a similarity of at least the threshold
     have that share of the larger in common, so the rarest elements of each that it can't spare do for them what those of sketches do for
-    texts in general, but without their error, and passages that take up less of a text connect nothing."""
-    found = components(_stars(_rarest(sets.select("t", F.col("s").alias("v")), threshold)))
+    texts in general, but without their error, and passages that take up less of a text connect nothing.  Of two sets of n and n' elements
+    t / (1 + t) (n + n') are in common, which bounds n' by what is left of either."""
+    most = F.floor(F.col("e") * F.lit((1 + threshold) / max(threshold, 1e-9)) + F.lit(1e-6)) - F.col("n")
+    found = components(_links(_rarest(sets.select("t", F.col("s").alias("v")), threshold), most))
     return found.select(F.col("node").alias("t"), F.col("root").alias("block"))
 
 
@@ -214,8 +239,8 @@ def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: fl
     """``t, root``: the hash of a text and its group, for texts that are in a group with another text.
 
     Texts that are equal count once.  A text's sketch values in order of how many texts retain them, rarest first: two sketches
-    with an estimate of at least e share at least e of the larger, so they share one among the first (1 - e) n + 1.  These
-    are linked; what is so connected forms a block, and the sets of a block meet in one task.  Blocks of more than
+    with an estimate of at least e share at least e of the larger, so they share one among the first (1 - e) n + 1.  Where
+    what follows it and the sizes allow that (``_links``), they are linked; what is so connected forms a block, and the sets of a block meet in one task.  Blocks of more than
     ``divided`` texts, which weak links chain together, are first divided by their exact sets in the same way (``_divided``); where more than
     ``largest`` texts remain, a great number of near copies of each other, they are verified by joins (``_verified``).  Where at most ``held`` texts are in
     blocks, their hashes are broadcast, else joined."""
@@ -228,7 +253,8 @@ def text_groups(docs: DataFrame, width: int = SHINGLE, k: int = K, threshold: fl
 
     first = cut(rows.select("t", "text").mapInArrow(sketch, "t long, v array<long>").filter(F.size("v") > 0).dropDuplicates(["t"]))
     lists = cut(_rarest(first, estimate))
-    blocks = cut(components(_stars(lists)).select(F.col("node").alias("t"), F.col("root").alias("block")))
+    most = F.floor(F.col("e") / F.lit(max(estimate, 1e-9)) + F.lit(1e-6))
+    blocks = cut(components(_links(lists, most)).select(F.col("node").alias("t"), F.col("root").alias("block")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in text_slices(batches, "text"):

@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from skein.llm import minhash
 from skein.llm.common import look_up
 from skein.llm.debruijn import repeated_spans
 from skein.llm.decontaminate import leaks
@@ -101,6 +102,58 @@ def test_a_large_group_of_near_copies(spark):
     assert {tuple(r) for r in near_duplicates(table(spark, rows), k=4096, largest=10).collect()} == brute_near(rows)
 
 
+def test_a_passage_doesnt_chain_groups(spark):
+    """What is left of texts from a passage on, and their sizes, tell that it is too little for them to be near; those that it may be enough for meet."""
+    passage = range(12)
+    sets = {1000 * i + j: [*passage, *range(100 * i, 100 * i + 10 + i)] for i in range(1, 31) for j in range(2)}
+    sets |= {90_000 + i: [*passage, *range(10_000 + i, 10_003 + i)] for i in range(20)} | {99_000: list(passage)}
+    rows = spark.createDataFrame(list(sets.items()), "t long, s array<long>")
+    found = {}
+    for t, block in minhash._divided(rows, 0.5).collect():
+        found.setdefault(block, set()).add(t)
+    small = {t for t in sets if t >= 90_000} | {1000, 1001, 2000, 2001}
+    assert sorted(map(sorted, found.values())) == sorted([sorted(small)] + [[1000 * i, 1000 * i + 1] for i in range(3, 31)])
+
+
+def test_links_connect_what_may_be_near(spark):
+    """The components of the links are those of all pairs that a value allows to be near."""
+    rng = np.random.default_rng(3)
+    rows = [(int(v), 100 * v + i, int(n), int(rng.integers(1, n + 1))) for v in range(40) for i, n in enumerate(rng.integers(1, 40, 12))]
+    lists = spark.createDataFrame(rows, "v long, t long, n long, e long")
+    got = {tuple(r) for r in components(minhash._links(lists, lists.e * 3 - lists.n)).collect()}
+    pairs = [(a[1], b[1]) for a, b in combinations(rows, 2) if a[0] == b[0] and 3 * min(a[3], b[3]) >= a[2] + b[2]]
+    assert got == {tuple(r) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+
+
+@pytest.mark.parametrize("k", [8, 64])
+def test_a_block_compares_few_pairs(monkeypatch, k):
+    """Near copies don't all read each other's lists, and texts with a passage in common that is too little aren't verified pair by pair."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: rng.integers(0, 2**62, n).astype(np.uint64)
+    base, passage = draw(100), draw(8)
+    copies = [np.unique(np.where(rng.random(100) < 0.02, draw(100), base)) for _ in range(600)]
+    short = [np.unique(np.concatenate([passage, draw(12)])) for _ in range(300)]
+    sets = [*copies, *short, np.unique(np.concatenate([base[:80], draw(20)])), short[0][:15]]
+    read, verified, bincount, union = [], [], np.bincount, minhash.union_estimate
+    monkeypatch.setattr(np, "bincount", lambda x, **o: (read.append(len(x)), bincount(x, **o))[1])
+    monkeypatch.setattr(minhash, "union_estimate", lambda a, b, k: (verified.append(1), union(a, b, k))[1])
+    got = minhash.group_block(sets, k, 0.5, 0.0 if k == 8 else 0.3)
+    assert got[:600] == [0] * 600 and got[900] == 0 and got[600] == got[901] == 600 and got[601:900] == list(range(601, 900))
+    if k == 64:
+        assert sum(read) < 1_500_000 and len(verified) < 5_000
+
+
+def test_a_block_by_brute_force():
+    rng = np.random.default_rng(21)
+    sets = [np.unique(rng.integers(0, 60, int(n)) + 60 * int(c)).astype(np.uint64) for n, c in zip(rng.integers(1, 60, 300), rng.integers(0, 12, 300))]
+    want = list(range(len(sets)))
+    for a, b in combinations(range(len(sets)), 2):
+        if minhash.exact(sets[a], sets[b]) >= 0.5:
+            x, y = sorted((want[a], want[b]))
+            want = [x if w == y else w for w in want]
+    assert minhash.group_block(sets, 4096, 0.5, 0.3) == want
+
+
 def test_look_up_spreads_hot_keys(spark):
     rows = spark.createDataFrame([(7, i) for i in range(500)] + [(i, i) for i in range(20)] + [(None, 1)], "k long, x long")
     table_ = spark.createDataFrame([(7, 501, "a"), (3, 1, "b"), (99, 0, "c")], "k long, n long, z string")
