@@ -405,3 +405,15 @@ def test_empty_tables(spark, corpus):
     bench = spark.createDataFrame([], "item_id long, text string")
     for out in (near_duplicates(docs), without_near_duplicates(docs), repeated_spans(docs), repeated_lines(docs), without_repeated_lines(docs), leaks(docs, bench), leaks(some, bench), imatch(docs)):
         assert out.collect() == []
+
+
+def test_passages_need_no_verifying_in_rounds(spark, monkeypatch):
+    """Groups that only have a passage in common are no block too large for a task, in which all who share it would be joined."""
+    rng = np.random.default_rng(31)
+    passage, rows = prose(rng, 14), []
+    for _ in range(30):
+        own = prose(rng, 8)
+        rows += [f"{passage} {own} one", f"{passage} {own} two"]
+    monkeypatch.setattr(minhash, "_verified", lambda *_, **__: pytest.fail("verified in rounds"))
+    kept = without_near_duplicates(table(spark, list(enumerate(rows))), divided=3, largest=10)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 60, 2))
