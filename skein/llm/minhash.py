@@ -78,15 +78,18 @@ def group_block(sets: list[np.ndarray], k: int, threshold: float, estimate: floa
     Inverted lists of the sketches give overlaps, the union sketch filters, exact Jaccard verifies.  A pair whose sets are already
     in one group needs no verifying.  First, in a few rounds, each set is verified with one other: of the sets that come first in its
     lists, in an order drawn anew, the one that does so in most.  Lists of which all sets are in one group then have no pair
-    left and go, so that near copies of each other cost as much as they are many; every pair of the other lists is compared."""
+    left and go, so that near copies of each other cost as much as they are many.  Every pair of sets of different groups in the
+    other lists is compared, each once and from the smaller group's side: a set with all that it meets, those with most in common first, many at a time."""
     n = len(sets)
     root = np.arange(n)
     sketch = [s[:k] for s in sets]
     size, whole = np.array([len(s) for s in sketch]), np.array([len(s) for s in sets])
+    first = np.cumsum(size) - size
     posting = np.repeat(np.arange(n), size)
-    _, code = np.unique(np.concatenate(sketch), return_inverse=True)
-    order = np.argsort(code, kind="stable")
-    posting, code = posting[order], code[order]
+    _, coded = np.unique(np.concatenate(sketch), return_inverse=True)
+    order = np.argsort(coded, kind="stable")
+    posting, code = posting[order], coded[order]
+    place_of = np.zeros(len(code) and code[-1] + 1, np.int64)
 
     def open_lists() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The lists of sets of several groups: their sets, where each begins, and how many it has."""
@@ -96,11 +99,36 @@ def group_block(sets: list[np.ndarray], k: int, threshold: float, estimate: floa
         count = np.diff(begin, append=len(code))
         return np.repeat(several, count), np.cumsum(count[several]) - count[several], count[several]
 
-    def verify(a: int, j: int) -> None:
+    def merge(a: int, j: int) -> None:
         x, y = root[a], root[j]
-        if x != y and union_estimate(sketch[a], sketch[j], k) >= estimate and exact(sets[a], sets[j]) >= threshold:
+        if x != y:
             root[root == max(x, y)] = min(x, y)
 
+    def estimated(a: int, b: np.ndarray) -> np.ndarray:
+        """``union_estimate`` of set a with each of b: a common value's place in the union is the sum of its places in both, less
+        the common values up to it."""
+        place_of[coded[first[a] : first[a] + size[a]]] = np.arange(1, size[a] + 1)
+        begin = np.cumsum(size[b]) - size[b]
+        own = np.arange(size[b].sum()) - np.repeat(begin, size[b])
+        other = place_of[coded[np.repeat(first[b], size[b]) + own]]
+        place_of[coded[first[a] : first[a] + size[a]]] = 0
+        common = np.cumsum(other > 0)
+        before = np.repeat(common[begin] - (other[begin] > 0), size[b])
+        low = (other > 0) & (other + own + 1 - (common - before) <= k)
+        union = np.minimum(k, size[a] + size[b] - np.add.reduceat(other > 0, begin, dtype=np.int64))
+        return np.add.reduceat(low, begin, dtype=np.int64) / union
+
+    def similar(a: int, b: np.ndarray) -> np.ndarray:
+        """``exact`` of set a with each of b; most values that a hasn't differ in their high bits from all that it has."""
+        s = sets[a]
+        high = np.zeros(1 << 16, bool)
+        high[s >> U(47)] = True
+        flat = np.concatenate([sets[j] for j in b.tolist()])
+        may = np.flatnonzero(high[flat >> U(47)])
+        may = may[s[np.minimum(np.searchsorted(s, flat[may]), len(s) - 1)] == flat[may]]
+        both = np.diff(np.searchsorted(may, np.concatenate(([0], np.cumsum(whole[b])))))
+        return both / (whole[a] + whole[b] - both)
+
     for turn in range(rounds + 1):
         kept, begin, count = open_lists()
         posting, code = posting[kept], code[kept]
@@ -113,23 +141,40 @@ def group_block(sets: list[np.ndarray], k: int, threshold: float, estimate: floa
         by_set = np.lexsort((often, pair // n))
         best = pair[by_set][np.diff(pair[by_set] // n, append=n) > 0]
         for a, j in zip((best // n).tolist(), (best % n).tolist()):
-            verify(a, j)
-    of = np.argsort(posting, kind="stable")
-    lists, row = np.repeat(np.arange(len(begin)), count)[of], np.searchsorted(posting[of], np.arange(n + 1))
-    for a in range(n - 1):
-        met = [posting[begin[i] : begin[i] + count[i]] for i in lists[row[a] : row[a + 1]].tolist()]
-        if not met:
-            continue
-        met = np.concatenate(met)
-        overlap = np.bincount(met[met > a] - a, minlength=1)
+            if root[a] != root[j] and union_estimate(sketch[a], sketch[j], k) >= estimate and exact(sets[a], sets[j]) >= threshold:
+                merge(a, j)
+    if not len(posting):
+        return root.tolist()
+    group = np.bincount(root, minlength=n)[root] * n + root  # by size
+    order = np.lexsort((group[posting], code))
+    posting, code = posting[order], code[order]
+    last = np.append(np.diff(code) > 0, True)
+    ends, stops = np.flatnonzero(last | np.append(np.diff(group[posting]) != 0, True)) + 1, np.flatnonzero(last) + 1
+    here = np.arange(len(posting))
+    end, stop = ends[np.searchsorted(ends, here, "right")], stops[np.searchsorted(stops, here, "right")]  # of a set's group in a list, of the list
+    some = np.flatnonzero(end < stop)
+    some = some[np.argsort(posting[some], kind="stable")]
+    row = np.searchsorted(posting[some], np.arange(n + 1))
+    for a in np.flatnonzero(np.diff(row)).tolist():
+        mine = some[row[a] : row[a + 1]]
+        overlap = np.bincount(np.concatenate([posting[i:j] for i, j in zip(end[mine].tolist(), stop[mine].tolist())]))
         b = np.flatnonzero(overlap)
-        both, b = overlap[b], b + a
+        both = overlap[b]
         ok = (both >= np.ceil(estimate * np.maximum(size[a], size[b]) - 1e-9)) & (root[b] != root[a])
         ok &= np.minimum(whole[a], whole[b]) >= threshold * np.maximum(whole[a], whole[b]) - 1e-9
         if whole[a] <= k:  # sketches that are the sets tell all they have in common
             ok &= (whole[b] > k) | (both >= threshold * (whole[a] + whole[b] - both) - 1e-9)
-        for j in b[ok].tolist():
-            verify(a, j)
+        b = b[ok][np.argsort(-both[ok], kind="stable")]
+        many = 16
+        while len(b):
+            some_b, b, many = b[:many], b[many:], 256
+            some_b = some_b[estimated(a, some_b) >= estimate]
+            while len(some_b):
+                few = max(1, int(np.searchsorted(np.cumsum(whole[some_b]), 1 << 20)))
+                for j in some_b[:few][similar(a, some_b[:few]) >= threshold].tolist():
+                    merge(a, j)
+                some_b = some_b[few:]
+            b = b[root[b] != root[a]]
     return root.tolist()
 
 

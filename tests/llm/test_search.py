@@ -154,6 +154,29 @@ def test_a_block_by_brute_force():
     assert minhash.group_block(sets, 4096, 0.5, 0.3) == want
 
 
+def test_block_of_copies_and_what_is_almost_one(monkeypatch):
+    """Sets that have a passage in common with many near copies but are near to none: the pairs aren't verified one by one."""
+    rng = np.random.default_rng(11)
+    draw = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    base = draw(300)
+    copies = [np.unique(np.concatenate([base[rng.random(300) > 0.1], draw(20)])) for _ in range(300)]
+    almost = [np.unique(np.concatenate([rng.choice(base, 180, replace=False), draw(150)])) for _ in range(60)]
+    sets = [[*copies, *almost][i] for i in rng.permutation(360)]
+    near = np.array([[minhash.union_estimate(a[:64], b[:64], 64) >= 0.3 and minhash.exact(a, b) >= 0.5 for b in sets] for a in sets])
+    want = np.arange(360)
+    for _ in range(360):
+        now = np.where(near | np.eye(360, dtype=bool), want[None, :], 360).min(1)
+        if (now == want).all():
+            break
+        want = now
+    assert len(set(want.tolist())) == 61
+    calls = []
+    one = minhash.union_estimate
+    monkeypatch.setattr(minhash, "union_estimate", lambda *a: calls.append(1) or one(*a))
+    assert minhash.group_block(sets, 64, 0.5, 0.3) == want.tolist()
+    assert len(calls) <= 4 * 360  # one a set in each round
+
+
 def test_look_up_spreads_hot_keys(spark):
     rows = spark.createDataFrame([(7, i) for i in range(500)] + [(i, i) for i in range(20)] + [(None, 1)], "k long, x long")
     table_ = spark.createDataFrame([(7, 501, "a"), (3, 1, "b"), (99, 0, "c")], "k long, n long, z string")
