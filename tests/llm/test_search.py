@@ -14,7 +14,7 @@ from skein.llm.decontaminate import leaks
 from skein.llm.fingerprints import imatch
 from skein.llm.lines import repeated_lines, without_repeated_lines
 from skein.llm.minhash import near_duplicates, without_near_duplicates
-from skein.plans.components import components
+from skein.plans.components import components, contracted
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b + c for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "r", "st", "lle", "ck")]
@@ -329,6 +329,20 @@ def test_components(spark):
     assert got == {i: root(i) for i in list(up)}
 
 
+def test_components_within_partitions(spark):
+    """Edges that lie together take no round, whatever their order; where runs end within a component, rounds join them."""
+    rng = np.random.default_rng(2)
+    links = [(f"é{i:03d}" if i % 7 == 0 else f"n{i:03d}", f"é{i + 1:03d}" if (i + 1) % 7 == 0 else f"n{i + 1:03d}") for i in range(300) if i % 50 < 49]
+    edges = spark.createDataFrame([links[i] for i in rng.permutation(len(links))], "a string, b string").coalesce(1)
+    got = {r.node: r.root for r in components(edges, most_rounds=0).collect()}
+    for begin in range(0, 300, 50):
+        part = {x for a, b in links if begin <= int(a[1:]) < begin + 50 for x in (a, b)}
+        assert {got[x] for x in part} == {min(part)}
+    short = contracted(edges, at_once=10)
+    assert short.count() <= len(links)
+    assert {r.node: r.root for r in components(short).collect()} == got
+
+
 def test_leaks(spark):
     items = [(1, "Anna walks 12 km to the market and buys 5 red apples for her mother every week."), (2, "short item here"), (3, None), (4, ""), (None, "null id item is left out of it all here now")]
     docs = [
