@@ -1,8 +1,10 @@
 """Known answers on small graphs, and literal models of the iterative operators on random ones."""
 
 import random
+import tracemalloc
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +209,20 @@ def test_groups(spark):
         H.call_chains(g, max_rows=2)
 
 
+def test_betweenness_holds_arrays():
+    """A walk over a little of a large graph takes little beside the arrays that it is given."""
+    n = 200_000
+    near = np.zeros(2 * n, np.int32)
+    near[0::2], near[1::2] = (np.arange(n) - 1) % n, (np.arange(n) + 1) % n
+    near[[0, -1]] = 0, n - 1  # ends link to themselves here, so that it is a path
+    near[2:8] = [0, 2, 1, 1, 3, 3]  # and breaks off after the third
+    tracemalloc.start()
+    total = A._walks(A._shortest, np.arange(0, 2 * n + 1, 2), near, [0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total[1] == 1 and peak < 3 * 8 * n
+
+
 def test_candidates(spark):
     rows = [("x", ["a", "b"], 0.5), ("y", ["a", "b", "c"], 0.5), ("z", ["a", "b", "d"], 0.1), ("p", ["c", "a", "b"], 0.9)]
     c = spark.createDataFrame([(i, i, n, "r", "INFERRED", s, "f", 0, k) for k, (i, n, s) in enumerate(rows)], "id string, label string, nodes array<string>, relation string, confidence string, confidence_score double, source_file string, rank int, ord long")
