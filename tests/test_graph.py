@@ -209,6 +209,38 @@ def test_groups(spark):
         H.call_chains(g, max_rows=2)
 
 
+def test_chains_within_components(spark):
+    """Against a literal search, whether components are searched in a task or by joins; ``max_rows`` bounds each component."""
+    rnd = random.Random(5)
+    names = [f"p{p}n{i}" for p in range(6) for i in range(5)]
+    links = [(a, b) for a in names for b in names if a != b and a[:2] == b[:2] and rnd.random() < 0.45]
+    rnd.shuffle(links)
+    g = graph(spark, names, links + links[:9])
+    want = []
+
+    def grow(path):
+        if len(path) >= 3:
+            want.append(path)
+        for a, b in links:
+            if a == path[-1] and b not in path:
+                grow([*path, b])
+
+    for x in names:
+        grow([x])
+    first = {}
+    for n, path in enumerate(want):
+        first.setdefault(frozenset(path), (n, path))
+    for held in (10_000, 8):
+        assert [r.nodes for r in H.call_chains(g, held=held).orderBy("key", "nodes").collect()] == want
+        assert {r.id: r.nodes for r in H.chain_candidates(g, held=held).collect()} == {f"chain_{n}": path for n, path in first.values()}
+    tied = Graph(g.nodes, g.edges.withColumn("ord", F.lit(1).cast("long")))
+    assert {(r.id, *r.nodes) for r in H.chain_candidates(tied).collect()} == {(r.id, *r.nodes) for r in H.chain_candidates(tied, held=0).collect()}
+    most = max(sum(p[0][:2] == f"p{k}" and len(p) == n for p in want) for k in range(6) for n in range(3, 6))
+    assert H.call_chains(g, max_rows=max(most, len(links))).count() == len(want)
+    small = graph(spark, [f"s{i}" for i in range(30)], [(f"s{i}", f"s{i + 1}") for i in range(29) if i % 3 < 2])
+    assert H.call_chains(small, max_rows=2).count() == 10  # one a component, of twenty steps in all
+
+
 def test_betweenness_holds_arrays():
     """A walk over a little of a large graph takes little beside the arrays that it is given."""
     n = 200_000
