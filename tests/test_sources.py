@@ -1,12 +1,15 @@
 """Source trees, extraction, documents, incremental builds and streams."""
 
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.__main__ import main
 from skein.functions import paths as P
 from skein.operators import extract as X
+from skein.plans.session import cut
 from skein.sources import cache as K
 from skein.sources import documents as D
 from skein.sources import files as S
@@ -204,3 +207,16 @@ def test_extraction_cache(spark, tmp_path):
     changed = spark.createDataFrame([("a.py", "def aa():\n  pass\n")], "path string, content string")
     assert K.load_extractions(changed, folder)[1].count() == 1
     assert K.clear(spark, folder) == 6
+
+
+def test_cut_frees_shuffles(spark):
+    """Shuffle files of a checkpoint's plan go without waiting for garbage collection; the rows stay."""
+    files = lambda: {n for n in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in n}
+    before = files()
+    kept = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert sorted(r["count"] for r in kept.collect()) == [142] * 1 + [143] * 6
